@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.session import materialise
+
 # Letters of other alphabets that look like Latin ones.
 LOOKALIKES = {
     # Cyrillic
@@ -80,6 +82,14 @@ def java_class() -> str:
     return "[\\p{M}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(unstable())) + "]"
 
 
+@functools.cache
+def java_unusual() -> str:
+    """A cheap Java regular expression: one code point outside the ranges that most texts keep to and that never change."""
+    may = {*map(ord, unstable())} | {c for c in range(sys.maxunicode + 1) if U.category(chr(c))[0] == "M"}
+    usual = [chr(c) for a, b in ((0x0A, 0x0A), (0x20, 0x17F), (0x2013, 0x203A), (0x3001, 0x3011), (0x4E00, 0x9FFF)) for c in range(a, b + 1) if c not in may]
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(usual)) + "]"
+
+
 @functools.cache
 def python_class() -> re.Pattern:
     marks = [chr(c) for c in range(sys.maxunicode + 1) if U.category(chr(c))[0] == "M"]
@@ -105,16 +115,20 @@ def fold(text: str | None) -> str | None:
     return _BLANKS.sub("", _BLANKS.sub(lambda m: " " if len(m[0]) > 1 else "", text)).strip(" \n")
 
 
-def _width_rule() -> tuple[str, str]:
-    """Full-width forms stand 0xFEE0 above ASCII; blanks of any width are one blank."""
-    wide = [chr(c) for c in range(0xFF01, 0xFF5F)]
-    blank = [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
-    return "".join(wide + blank), "".join(chr(ord(c) - 0xFEE0) for c in wide) + " " * len(blank)
+#: Full-width forms stand 0xFEE0 above ASCII; blanks of any width are one blank.
+WIDE, BLANK = [chr(c) for c in range(0xFF01, 0xFF5F)], [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
+
+
+def even_width(text: Column) -> Column:
+    """Full-width ASCII and blanks folded by arithmetic; only texts that hold any are rewritten."""
+    folded = F.translate(text, "".join(WIDE + BLANK), "".join(chr(ord(c) - 0xFEE0) for c in WIDE) + " " * len(BLANK))
+    return F.when(text.rlike("[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(WIDE + BLANK)) + "]"), folded).otherwise(text)
 
 
 def tidy_blanks(text: Column) -> Column:
     """Runs of blanks as one, none at the ends of lines or of the text."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "(?<=\n) | (?=\n)", "")).alias("text")
+    tidy = F.regexp_replace(F.regexp_replace(text, " {2,}", " "), "(?<=\n) | (?=\n)", "")
+    return F.trim(F.when(text.rlike("  | \n|\n "), tidy).otherwise(text), F.lit(" \n"))
 
 
 def consistent_form(df: DataFrame, key: str, text: str, out: str = "form") -> DataFrame:
@@ -126,9 +140,8 @@ def consistent_form(df: DataFrame, key: str, text: str, out: str = "form") -> Da
     broadcast table, and the text rebuilt; a group is one text. Null and empty texts come out as they are.
     """
     spark = df.sparkSession
-    wide, narrow = _width_rule()
-    base = df.select(F.col(key).alias("_k"), F.translate(F.col(text), wide, narrow).alias("_t"))
-    changes = F.col("_t").rlike(java_class()) | F.col("_t").rlike("[\\t\\r\\x0B\\f]")
+    base = df.select(F.col(key).alias("_k"), even_width(F.col(text)).alias("_t"))
+    changes = F.col("_t").rlike(java_unusual()) & F.col("_t").rlike(java_class())
     plain = base.where(~F.coalesce(changes, F.lit(False))).select("_k", F.col("_t").alias(out))
     letters = base.where(changes).dropDuplicates(["_k"]).select("_k", F.posexplode(F.split("_t", "")).alias("_p", "_c"))
     decompose, compose = _frames(spark)
@@ -171,9 +184,11 @@ def same_reading_pairs(df: DataFrame, key: str, text: str, all_up_to: int = 1000
     given = df.where(F.col(text) != "").select(F.col(key).alias("id"), F.col(text).alias("t"))
     formed = consistent_form(given, "id", "t", "form").select("id", F.md5("form").alias("form"))
     raw = given.select("id", F.md5("t").alias("raw"))
-    both = raw.join(formed, "id").distinct()
+    both = materialise(raw.join(formed, "id").distinct())
     classes = both.groupBy("form").agg(F.count_distinct("raw").alias("texts"), F.count("*").alias("ids")).where("texts > 1")
-    rows = both.join(classes, "form").withColumn("first", F.min("id").over(Window.partitionBy("form", "raw")) == F.col("id"))
+    rows = materialise(both.join(classes, "form"))
+    heads = rows.groupBy("form", "raw").agg(F.min("id").alias("head"))
+    rows = rows.join(heads, ["form", "raw"]).withColumn("first", F.col("head") == F.col("id"))
     a, b = rows.alias("a"), rows.alias("b")
     keep = (F.col("a.ids") <= all_up_to) | F.col("a.first") | F.col("b.first")
     return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")) & keep).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import forms, language, main_content, near_duplicates, proportions, repeated_lines, splitting
+from quarry.llm import forms, language, leakage, main_content, near_duplicates, proportions, repeated_lines, residue, splitting, tokens
 from quarry.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +96,34 @@ def p7_main(spark: SparkSession, d: str) -> DataFrame:
     return main_content.main_content(docs, main_content.train(docs))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.token_ids(read(spark, d, "documents"))
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decoded(p8_ids(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "heldout_item"))
+
+
+def p9_paraphrases(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(read(spark, d, "documents"), read(spark, d, "heldout_item"), paraphrases=True)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(read(spark, d, "documents"))
+
+
+def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_documents(read(spark, d, "documents"), reasons=True)
+
+
+def p10_templates(spark: SparkSession, d: str) -> DataFrame:
+    return residue.templates(residue.segments(read(spark, d, "documents")))
+
+
 @functools.cache
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
@@ -125,6 +153,7 @@ def oracle_sql() -> dict[str, str]:
                 HAVING count(DISTINCT document_id) >= 5 AND count(DISTINCT document_id) * 5 >= docs)
           SELECT DISTINCT document_id, line_no FROM k JOIN s USING (site, key)""",
         "p3_found": "SELECT DISTINCT chunk_id FROM chunk WHERE length(text) > 1500",
+        "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p4_gaps": gaps,
         "p4_found": f"SELECT primary_category, language, difficulty FROM ({gaps}) WHERE short > 0",
     }
