@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import importlib
+
+#: Modules of queries; each has QUERIES: name -> (function, SQL or None).
+MODULES = ["retrieval", "corpus", "graph", "evaluation", "governance", "sessions"]
+
+
+def _all():
+    out = {}
+    for m in MODULES:
+        out |= importlib.import_module(f"quarry.plans.{m}").QUERIES
+    return out
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return _all()["hybrid_search"][0](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql():
-    return {}
+    return {k: s for k, (_, s) in _all().items() if s}
