@@ -83,11 +83,21 @@ def java_class() -> str:
 
 
 @functools.cache
-def java_unusual() -> str:
-    """A cheap Java regular expression: one code point outside the ranges that most texts keep to and that never change."""
+def _usual() -> list[tuple[int, int]]:
+    """Ranges of code points that most texts keep to and that never change."""
     may = {*map(ord, unstable())} | {c for c in range(sys.maxunicode + 1) if U.category(chr(c))[0] == "M"}
     usual = [chr(c) for a, b in ((0x0A, 0x0A), (0x20, 0x17F), (0x2013, 0x203A), (0x3001, 0x3011), (0x4E00, 0x9FFF)) for c in range(a, b + 1) if c not in may]
-    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(usual)) + "]"
+    return _ranges(usual)
+
+
+def java_unusual() -> str:
+    """A cheap Java regular expression: one code point outside the usual ranges."""
+    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _usual()) + "]"
+
+
+@functools.cache
+def python_unusual() -> re.Pattern:
+    return re.compile("[^" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in _usual()) + "]")
 
 
 @functools.cache
@@ -101,18 +111,22 @@ def _table() -> dict[int, str]:
     return {ord(a): b for a, b in mapping().items()}
 
 
-_BLANKS = re.compile(r" {2,}| (?=\n)|(?<=\n) ")
+_BLANKS = re.compile(r" (?=\n)|(?<=\n) ")
 
 
 def fold(text: str | None) -> str | None:
     """The same form as consistent_form, for use inside Arrow functions: whole texts of a batch at a time."""
     if text is None:
         return None
-    if not text.isascii() and python_class().search(text):
+    if not text.isascii() and python_unusual().search(text) and python_class().search(text):
         text = U.normalize("NFC", U.normalize("NFD", text.translate(_table())))
     elif "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text:
         text = text.translate(_table())
-    return _BLANKS.sub("", _BLANKS.sub(lambda m: " " if len(m[0]) > 1 else "", text)).strip(" \n")
+    if "  " in text:
+        text = re.sub(" {2,}", " ", text)
+    if " \n" in text or "\n " in text:
+        text = _BLANKS.sub("", text)
+    return text.strip(" \n")
 
 
 #: Full-width forms stand 0xFEE0 above ASCII; blanks of any width are one blank.
@@ -175,13 +189,13 @@ def _classes(spark: SparkSession) -> DataFrame:
 
 
 def same_reading_pairs(df: DataFrame, key: str, text: str, all_up_to: int = 1000) -> DataFrame:
-    """Pairs (id_a, id_b), smaller first, whose texts read the same but differ in code points; empty and null texts make none.
+    """Pairs (id_a, id_b), smaller first, whose texts read the same but differ in code points; empty and null texts make none, nor do rows without an id.
 
     Forms are compared by 128-bit digests. A class of up to all_up_to ids gives all its pairs; in a larger one, copies of equal
     code points are represented: each id is paired with the smallest id of every other distinct text, so no link between
     different texts is lost and a hot text's copies aren't multiplied with each other.
     """
-    given = df.where(F.col(text) != "").select(F.col(key).alias("id"), F.col(text).alias("t"))
+    given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("t"))
     formed = consistent_form(given, "id", "t", "form").select("id", F.md5("form").alias("form"))
     raw = given.select("id", F.md5("t").alias("raw"))
     both = materialise(raw.join(formed, "id").distinct())

@@ -1,7 +1,7 @@
 """Problem 6: groups of texts that share most of their word runs, with pivot distance tables.
 
-A text's fingerprint is the bit set of its hashed runs of three words. The Hamming distance of two fingerprints is at most the
-size of the symmetric difference of the run sets, so every reference fingerprint (pivot) p gives a bound without loss:
+A text's fingerprint has a bit for every hashed run of three words. The Hamming distance of two fingerprints is the size of the
+symmetric difference of the run sets, so every reference fingerprint (pivot) p gives a bound without loss:
 |d(x, p) - d(y, p)| <= d(x, y) <= (1 - t) / (1 + t) * (|x| + |y|) for all pairs with a Jaccard similarity of t or more.
 Min-hash bands propose pairs, the pivot tables discard by the maximum coordinate difference, and survivors are verified exactly.
 """
@@ -21,7 +21,7 @@ from quarry.llm.forms import fold
 from quarry.session import materialise
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-PIVOTS, BITS = 16, 1 << 16
+PIVOTS = 12
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -46,27 +46,24 @@ _WORDS = _Words()
 
 
 def runs(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the distinct runs of k successive words of each text, as it reads, one text after the other, and where each
-    text's begin (and the last's end). Texts below k words have none."""
+    """40-bit hashes of the distinct runs of k successive words of each text, as it reads, in order, one text after the other, and
+    where each text's begin (and the last's end). Texts below k words have none. At most 2^24 texts at once."""
     table, counts, flat = _WORDS, [], []
     for t in texts:
         words = WORD.findall(fold(t).casefold())
         counts.append(len(words))
         flat += [table[w] for w in words]
-    of = np.repeat(np.arange(len(texts)), counts)
+    of = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
     h = _mixed(np.array(flat, np.uint64))
     n = max(0, len(h) - k + 1)
     acc = h[:n].copy()
     for i in range(1, k):
         acc = _mixed(acc * _M1 + h[i : n + i])
-    inside = of[:n] == of[k - 1 :][:n]  # a run doesn't cross texts
-    acc, of = acc[inside], of[:n][inside]
-    order = np.lexsort((acc, of))
-    acc, of = acc[order], of[order]
-    if len(acc):
-        new = np.append(True, (acc[1:] != acc[:-1]) | (of[1:] != of[:-1]))
-        acc, of = acc[new], of[new]
-    return acc, np.searchsorted(of, np.arange(len(texts) + 1))
+    both = (of[:n] << np.uint64(40) | acc >> np.uint64(24))[of[:n] == of[k - 1 :][:n]]  # a run doesn't cross texts
+    both.sort()
+    if len(both):
+        both = both[np.append(True, both[1:] != both[:-1])]
+    return both & np.uint64((1 << 40) - 1), np.searchsorted(both >> np.uint64(40), np.arange(len(texts) + 1, dtype=np.uint64))
 
 
 def _seeds(count: int, salt: int) -> np.ndarray:
@@ -83,21 +80,17 @@ def signatures(x: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.n
 
 
 def pivot_distances(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """[text, pivot]: Hamming distances of fingerprints (BITS bits) to the pivots, less each pivot's own size, the same for all texts.
+    """[text, pivot]: Hamming distances of fingerprints to the pivots, less each pivot's own size, the same for all texts.
 
-    Pivot 0 is empty, the others hold half of the bits: a bit is in pivot j where bit j of its position's hash is set. Distances are
-    clipped to 16 bits, which can't push two further apart.
+    A fingerprint has a bit for every run hash. Pivot 0 is empty, the others hold half of the bits: a bit is in pivot j where bit j of
+    its position's hash is set. Distances are clipped to 16 bits, which can't push two further apart.
     """
-    of = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(np.append(starts, len(x))))
-    bits = np.unique(of << np.uint64(20) | x & np.uint64(BITS - 1))
-    first = np.searchsorted(bits >> np.uint64(20), np.arange(len(starts), dtype=np.uint64))
-    size = np.diff(np.append(first, len(bits)))
-    hashed = _mixed((bits & np.uint64(BITS - 1)) * _M1)
+    size = np.diff(np.append(starts, len(x)))
+    hashed = _mixed(x * _M1)
     out = np.zeros((len(starts), PIVOTS), np.int64)
     out[:, 0] = size
     for j in range(1, PIVOTS):
-        inside = np.add.reduceat((hashed >> np.uint64(j)) & np.uint64(1), first)
-        out[:, j] = size - 2 * inside.astype(np.int64)
+        out[:, j] = size - 2 * np.add.reduceat((hashed >> np.uint64(j)) & np.uint64(1), starts).astype(np.int64)
     return np.clip(out, -32768, 32767).astype(np.int16)
 
 
@@ -112,14 +105,14 @@ def describe(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
     beside their number. Texts below k words are left out. A few hundred bytes a text; run sets are made again where they're verified."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in (big.iloc[i : i + 2000] for big in batches for i in range(0, len(big), 2000)):
             x, bounds = runs(b.text.tolist(), k)
             has = np.flatnonzero(np.diff(bounds))
             starts = bounds[has]
             if len(has):
                 yield pd.DataFrame({"id": b.id.to_numpy()[has], "node": _nodes(x, starts), "size": np.diff(bounds)[has].astype(np.int32), "pivots": list(pivot_distances(x, starts)), "bands": list(signatures(x, starts, bands, rows))})
 
-    given = df.where(F.col(text) != "").select(F.col(key).alias("id"), F.col(text).alias("text"))
+    given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"))
     return given.mapInPandas(work, "id string, node bigint, size int, pivots array<smallint>, bands array<int>")
 
 
@@ -131,16 +124,16 @@ def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int, sma
             x, bounds = runs(b.text.tolist(), k)
             yield pd.DataFrame({"node": b.node, "runs": np.split(x.view(np.int64), bounds[1:-1])})
 
-    given = df.where(F.col(text) != "").select(F.col(key).alias("id"), F.col(text).alias("text"))
+    given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"))
     texts = given.join(F.broadcast(wanted) if small else wanted, "id").select("node", "text")
     return texts.mapInPandas(work, "node bigint, runs array<bigint>").dropDuplicates(["node"])
 
 
-def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, bands: int = 40, rows: int = 6, broadcast_up_to: int = 500_000) -> tuple[DataFrame, DataFrame]:
+def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, bands: int = 36, rows: int = 6, broadcast_up_to: int = 500_000) -> tuple[DataFrame, DataFrame]:
     """(id, node) of every text of k words or more, and (a, b, similarity) between the nodes of different texts.
 
-    Texts with equal run sets are one node; only nodes are compared, so a text's copies cost nothing. With 40 bands of 6 rows a pair
-    at the threshold of 0.7 is proposed with a probability of 0.993, one at 0.75 with 0.9996 and one at 0.8 with 0.999995, while texts
+    Texts with equal run sets are one node; only nodes are compared, so a text's copies cost nothing. With 36 bands of 6 rows a pair
+    at the threshold of 0.7 is proposed with a probability of 0.989, one at 0.75 with 0.999 and one at 0.8 with 0.99998, while texts
     that only share stock phrases hardly ever meet. The pivot bound loses nothing, and the last step compares whole run sets. The ids of proposed texts are broadcast up to broadcast_up_to, and joined beyond that.
     """
     told = materialise(describe(df, key, text, k, bands, rows))
@@ -178,7 +171,7 @@ def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text
 
     A pair of nodes stands for the pairs between their members; nodes of up to all_up_to members are written out, larger ones give
     each member's pair with the node's smallest id only, which loses no link between different texts. Null, empty and short texts
-    make no pairs; rows of one id count once; empty tables give none.
+    and rows without an id make no pairs; rows of one id count once; empty tables give none.
     """
     members, pairs = classes_and_pairs(df, key, text, **options)
     sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
