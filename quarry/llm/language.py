@@ -228,7 +228,8 @@ def document_languages(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
     """(document_id, lang, confidence) of every document with a non-empty raw_text, from its main body.
 
     A line speaks with its length (a Chinese character as three letters) where it reads like prose: it ends as a sentence does.
-    Where none does, all lines speak. Texts without letters come out with a null language.
+    Where none does, all lines speak. Texts without letters come out with a null language; rows without
+    an id, null and empty texts are left out.
     """
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +248,7 @@ def document_languages(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
             win = use.argmax(1)
             yield pd.DataFrame({"document_id": b.document_id, "lang": [LANGS[w] if t else None for w, t in zip(win, total)], "confidence": use.max(1) / np.maximum(total, 1)})
 
-    given = docs.where("raw_text <> ''").select("document_id", "raw_text")
+    given = docs.where("document_id is not null and raw_text <> ''").select("document_id", "raw_text")
     return given.mapInPandas(judge, "document_id string, lang string, confidence double").dropDuplicates(["document_id"])
 
 
@@ -259,7 +260,7 @@ def foreign_lines(chunks: DataFrame, texts: dict[str, bytes], least: int = 30, l
 
     The chunk's language is the one most of its letters are in. A line speaks for itself from least letters (a Chinese character as
     three) and three words on, and with least_confidence: one minus the ratio of its language's cost to its chunk's. Rows of one
-    chunk_id count once; null and empty texts have no lines.
+    chunk_id count once; null and empty texts have no lines, nor have rows without an id.
     """
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,7 +276,7 @@ def foreign_lines(chunks: DataFrame, texts: dict[str, bytes], least: int = 30, l
             hit = np.flatnonzero((best != main) & (letters >= least) & ((words >= 3) | (cjk >= 6)) & (confidence >= least_confidence))
             yield pd.DataFrame({"chunk_id": b.chunk_id.to_numpy()[text_no[hit]], "line_no": line_no[hit] + 1, "lang": [p.langs[i] for i in best[hit]], "confidence": confidence[hit]})
 
-    given = chunks.where("text <> ''").select("chunk_id", "text")
+    given = chunks.where("chunk_id is not null and text <> ''").select("chunk_id", "text")
     return given.mapInPandas(judge, "chunk_id string, line_no bigint, lang string, confidence double").dropDuplicates(["chunk_id", "line_no"])
 
 

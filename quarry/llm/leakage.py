@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, held_out: DataFrame, cosine: float = 0.98, paraphrase
     for, repeated items count once, and no items give no rows.
     """
     spark = docs.sparkSession
-    rows = [(r.item_id, r.text, r.lang) for r in held_out.where("text <> ''").select("item_id", "text", "lang").dropDuplicates(["item_id"]).orderBy("item_id").collect()]  # fixed table
+    rows = [(r.item_id, r.text, r.lang) for r in held_out.where("item_id is not null and text <> ''").select("item_id", "text", "lang").dropDuplicates(["item_id"]).orderBy("item_id").collect()]  # fixed table
     items = Items(rows)
     schema = "doc_id bigint, item_id bigint" + ", overlap double" * paraphrases
     if not items.vocabulary:
@@ -227,4 +227,4 @@ def leaks(docs: DataFrame, held_out: DataFrame, cosine: float = 0.98, paraphrase
                         out.append((b.doc_id[n], i))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "overlap"][: 2 + paraphrases])
 
-    return docs.where("text <> ''").select("doc_id", "text").mapInPandas(work, schema).dropDuplicates(["doc_id", "item_id"])
+    return docs.where("doc_id is not null and text <> ''").select("doc_id", "text").mapInPandas(work, schema).dropDuplicates(["doc_id", "item_id"])

@@ -180,7 +180,7 @@ def labels(raw: str, cleaned: str, site: str, at: list[int]) -> list[int]:
 
 def train(docs: DataFrame, pages: int = 700) -> Field:
     """A field trained on at most pages web pages (a documented, bounded sample, taken by a hash of the id)."""
-    web = docs.where("metadata.source_url is not null and raw_text <> '' and cleaned_text <> ''").select("document_id", "source_path", "raw_text", "cleaned_text")
+    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text <> '' and cleaned_text <> ''").select("document_id", "source_path", "raw_text", "cleaned_text")
     slots = web.select("document_id", F.xxhash64("document_id").alias("h")).groupBy(F.pmod("h", F.lit(pages)).alias("slot")).agg(F.min(F.struct("h", "document_id")).alias("m")).select(F.col("m.document_id").alias("document_id"))
     rows = web.join(F.broadcast(slots), "document_id").dropDuplicates(["document_id"]).orderBy("document_id").collect()  # at most pages rows
     given = []
@@ -208,7 +208,7 @@ def boilerplate(docs: DataFrame, field: Field) -> DataFrame:
                 numbers += hit
             yield pd.DataFrame({"document_id": pd.Series(ids, dtype=object), "line_no": pd.Series(numbers, dtype="int64")})
 
-    web = docs.where("metadata.source_url is not null and raw_text <> ''").select("document_id", "source_path", "raw_text")
+    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text <> ''").select("document_id", "source_path", "raw_text")
     return web.mapInPandas(judge, "document_id string, line_no bigint").distinct()
 
 
@@ -226,5 +226,5 @@ def main_content(docs: DataFrame, field: Field) -> DataFrame:
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone).strip("\n"))
             yield pd.DataFrame({"document_id": b.document_id, "main_text": texts})
 
-    web = docs.where("metadata.source_url is not null and raw_text is not null").select("document_id", "source_path", "raw_text").dropDuplicates(["document_id"])
+    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text is not null").select("document_id", "source_path", "raw_text").dropDuplicates(["document_id"])
     return web.mapInPandas(keep, "document_id string, main_text string")

@@ -22,7 +22,7 @@ def spelled(col: str) -> Column:
 def usable(cases: DataFrame, quota: DataFrame) -> DataFrame:
     """(case_id, cell labels as in quota): accepted cases, once each, whose three labels name a quota cell. Nulls name none."""
     cells = quota.select(*CELL, *[spelled(c).alias(f"_{c}") for c in CELL])
-    given = cases.where("accepted").select("case_id", *[spelled(c).alias(f"_{c}") for c in CELL]).dropDuplicates(["case_id", *[f"_{c}" for c in CELL]])
+    given = cases.where("accepted and case_id is not null").select("case_id", *[spelled(c).alias(f"_{c}") for c in CELL]).dropDuplicates(["case_id", *[f"_{c}" for c in CELL]])
     return given.join(F.broadcast(cells), [f"_{c}" for c in CELL]).select("case_id", *CELL)  # quota: one row a cell, fixed
 
 

@@ -57,7 +57,7 @@ def slots(text: Column) -> Column:
 
 def segments(docs: DataFrame, depth: int = 5) -> DataFrame:
     """(doc_id, leaf, says, filler, sentence): each segment with its leaf of the prefix tree and what it looks like by itself."""
-    cut = docs.where("text rlike '\\\\S'").select("doc_id", F.explode(_segments(F.col("text"))).alias("s"))
+    cut = docs.where("doc_id is not null and text rlike '\\\\S'").select("doc_id", F.explode(_segments(F.col("text"))).alias("s"))
     low = F.trim(F.regexp_replace(F.lower("s"), r"[0-9a-f]*[0-9][0-9a-f]*(?:[-./:][0-9a-f]*[0-9][0-9a-f]*)*", "0"))
     cut = cut.select("doc_id", "s", low.alias("low")).where("low <> ''")
     words = F.regexp_extract_all("low", F.lit(r"[一-鿿]|[\p{L}\p{N}']+"), F.lit(0))
@@ -98,7 +98,7 @@ def residue_documents(docs: DataFrame, reasons: bool = False) -> DataFrame:
         F.coalesce(F.bool_or("filler"), F.lit(False)).alias("filler"),
         (F.bool_or(residue) & ~F.bool_or(F.col("sentence") & ~residue & ~F.col("filler"))).alias("message"),
     )
-    marked = docs.where(slots(F.col("text"))).select("doc_id").distinct().withColumn("slot", F.lit(True))
+    marked = docs.where(F.col("doc_id").isNotNull() & slots(F.col("text"))).select("doc_id").distinct().withColumn("slot", F.lit(True))
     out = judged.where("filler or message").join(marked, "doc_id", "full")
     out = out.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("slot", "filler", "message")])
     return out if reasons else out.select("doc_id")

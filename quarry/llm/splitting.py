@@ -59,10 +59,11 @@ def split_oversized(df: DataFrame, limit: int = 1500, overlap: int = 100) -> Dat
     """(chunk_id, chunk_order, char_start, char_end, text) of the pieces of every chunk longer than limit code points.
 
     Rows of one chunk_id count once. chunk_order numbers the pieces from the chunk's own order; char offsets add to the chunk's
-    own char_start. A null order or offset counts as 0; null, empty and short texts aren't oversized and have no pieces. Only
+    own char_start. A null order or offset counts as 0; null, empty and short texts aren't oversized and have
+    no pieces, nor have rows without an id. Only
     oversized texts reach Python, and each is cut by itself.
     """
-    given = df.where(F.length("text") > limit).select("chunk_id", F.coalesce("chunk_order", F.lit(0)).alias("chunk_order"), F.coalesce("char_start", F.lit(0)).alias("char_start"), "text")
+    given = df.where(F.col("chunk_id").isNotNull() & (F.length("text") > limit)).select("chunk_id", F.coalesce("chunk_order", F.lit(0)).alias("chunk_order"), F.coalesce("char_start", F.lit(0)).alias("char_start"), "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -31,6 +31,27 @@ WITH RECURSIVE t(w, step, pos, id) AS (
 SELECT w, list(id ORDER BY pos) AS ids, max(step) AS step FROM (SELECT * FROM t QUALIFY step = max(step) OVER (PARTITION BY w)) GROUP BY w
 """
 
+#: For long words: all places of the least-ranked pair at once, from the left, every second one where places overlap. A pair made by
+#: a contraction has a greater rank, so this ends where one contraction at a time does.
+CONTRACT_ALL = """
+WITH RECURSIVE t(w, step, pos, id) AS (
+  SELECT w, 0, pos, id FROM start
+  UNION ALL
+  SELECT w, step + 1, pos, if(take, joined, id) FROM (
+    SELECT *, lag(take) OVER (PARTITION BY w ORDER BY pos) AS before FROM (
+      SELECT *, hit AND (row_number() OVER (PARTITION BY w, hit, chain ORDER BY pos)) % 2 = 1 AS take FROM (
+        SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) - row_number() OVER (PARTITION BY w, hit ORDER BY pos) AS chain FROM (
+          SELECT *, best IS NOT NULL AND joined IS NOT DISTINCT FROM best AS hit FROM (
+            SELECT *, min(joined) OVER (PARTITION BY w) AS best FROM (
+              SELECT t.w, t.step, t.pos, t.id, m.joined
+              FROM (SELECT *, lead(id) OVER (PARTITION BY w ORDER BY pos) AS after FROM t) t
+              LEFT JOIN merges m ON m.a = t.id AND m.b = t.after))))))
+  WHERE best IS NOT NULL AND before IS DISTINCT FROM TRUE AND step < {steps}
+)
+SELECT w, list(id ORDER BY pos) AS ids, max(step) AS step FROM (SELECT * FROM t QUALIFY step = max(step) OVER (PARTITION BY w)) GROUP BY w
+"""
+LONG = 256
+
 
 class Encoder:
     """A worker's DuckDB with the merge table of one vocabulary, and the ids of words it has met."""
@@ -60,7 +81,12 @@ class Encoder:
             rows.append((self.ranks[parts[0]], self.ranks[parts[1]], rank))
         return rows
 
-    def learn(self, words: list[str], batch: int = 3000, steps: int = 48) -> None:
+    def learn(self, words: list[str]) -> None:
+        """Adds the ids of words; those of more than LONG characters by their own query, few at a time."""
+        self._learn([w for w in words if len(w) <= LONG], 3000, 48, CONTRACT)
+        self._learn([w for w in words if len(w) > LONG], 8, 12, CONTRACT_ALL)
+
+    def _learn(self, words: list[str], batch: int, steps: int, query: str) -> None:
         """Adds the ids of words. A query makes at most steps contractions a word, so that long words don't pile up rows; the next one
         goes on where it stopped, until nothing changes."""
         for at in range(0, len(words), batch):
@@ -71,7 +97,7 @@ class Encoder:
                 lengths = [len(state[i]) for i in open_]
                 rows = pd.DataFrame({"w": np.repeat(np.array(open_, np.int32), lengths), "pos": np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]), "id": np.concatenate([state[i] for i in open_])})
                 self.con.register("start", rows)
-                done = self.con.execute(CONTRACT.format(steps=steps)).fetchall()
+                done = self.con.execute(query.format(steps=steps)).fetchall()
                 open_ = []
                 for w, ids, step in done:
                     state[w] = np.array(ids, np.int32)
@@ -101,17 +127,17 @@ def encoder(path: str) -> Encoder:
 def token_ids(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """(key, ids): the ids of each row's whole text without special tokens; strings of special tokens are ordinary text.
 
-    Empty and null texts have an empty list of ids. Rows come out one for one. The vocabulary file is read where the executors run.
+    Empty and null texts have an empty list of ids. Rows come out one for one, whatever their key. The vocabulary file is read where the executors run.
     """
     path = os.path.join(folder or TOKENIZERS, f"{vocabulary}.tiktoken")
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = encoder(path)
         for b in batches:
-            yield pd.DataFrame({key: b[key], "ids": own.encode([t if isinstance(t, str) else None for t in b[text]])})
+            yield pd.DataFrame({"k": b.k, "ids": own.encode([t if isinstance(t, str) else None for t in b.t])})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInPandas(work, f"`{key}` {kind}, ids array<int>")
+    given = df.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    return given.mapInPandas(work, "k string, ids array<int>").select(F.col("k").cast(df.schema[key].dataType).alias(key), "ids")
 
 
 def decoded(df: DataFrame, key: str = "doc_id", vocabulary: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
@@ -129,7 +155,7 @@ def decoded(df: DataFrame, key: str = "doc_id", vocabulary: str = "byte_bpe_50k"
             rows = pd.DataFrame({"n": np.repeat(np.arange(len(b)), sizes), "pos": np.concatenate([np.arange(s) for s in sizes] or [[]]).astype(int), "id": np.concatenate(list(b.ids) or [[]]).astype(int)})
             own.con.register("ids", rows)
             joined = dict(own.con.execute("SELECT n, string_agg(hex, '' ORDER BY pos) FROM ids JOIN pieces USING (id) GROUP BY n").fetchall())
-            yield pd.DataFrame({key: b[key], "text": [bytes.fromhex(joined.get(i, "")).decode("utf-8", "replace") for i in range(len(b))]})
+            yield pd.DataFrame({"k": b.k, "text": [bytes.fromhex(joined.get(i, "")).decode("utf-8", "replace") for i in range(len(b))]})
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInPandas(work, f"`{key}` {kind}, text string")
+    given = df.select(F.col(key).cast("string").alias("k"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return given.mapInPandas(work, "k string, text string").select(F.col("k").cast(df.schema[key].dataType).alias(key), "text")
