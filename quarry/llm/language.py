@@ -236,13 +236,13 @@ def document_languages(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
         p = parser(texts)
         for b in batches:
             raws = b.raw_text.tolist()
-            text_no, _, size, cjk, _, cost, best, _ = _line_languages(p, raws)
+            text_no, _, size, cjk, words, cost, best, _ = _line_languages(p, raws)
             prose = np.array([x.rstrip()[-1:] in _STOPS for t in raws for x in t.replace("\x1e", " ").split("\n")])
             weight = (size + 2 * cjk) * (size + 2 * cjk >= 36)
             votes = np.zeros((2, len(raws), len(LANGS)))
             at = np.array([LANGS.index(x) for x in p.langs])[best]
             np.add.at(votes[0], (text_no, at), weight * prose)
-            np.add.at(votes[1], (text_no, at), size + 2 * cjk)
+            np.add.at(votes[1], (text_no, at), size - words + 2 * cjk)
             use = np.where(votes[0].sum(1, keepdims=True) > 0, votes[0], votes[1])
             total = use.sum(1)
             win = use.argmax(1)
