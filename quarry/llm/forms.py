@@ -76,10 +76,18 @@ def _ranges(chars: list[str]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in found]
 
 
+#: Full-width forms stand 0xFEE0 above ASCII; blanks of any width are one blank. Both fold by arithmetic.
+WIDE, BLANK = [chr(c) for c in range(0xFF01, 0xFF5F)], [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
+
+
+def _java(ranges: list[tuple[int, int]]) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
 @functools.cache
 def java_class() -> str:
-    """A Java regular expression: one code point that may change."""
-    return "[\\p{M}" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(unstable())) + "]"
+    """A Java regular expression: one code point that may change otherwise than in its width."""
+    return "[\\p{M}" + _java(_ranges(sorted({*unstable()} - {*WIDE, *BLANK}))) + "]"
 
 
 @functools.cache
@@ -91,8 +99,8 @@ def _usual() -> list[tuple[int, int]]:
 
 
 def java_unusual() -> str:
-    """A cheap Java regular expression: one code point outside the usual ranges."""
-    return "[^" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _usual()) + "]"
+    """A cheap Java regular expression: one code point outside the usual ranges that isn't only of another width."""
+    return "[^" + _java(_usual()) + _java(_ranges(WIDE + BLANK)) + "]"
 
 
 @functools.cache
@@ -129,14 +137,10 @@ def fold(text: str | None) -> str | None:
     return text.strip(" \n")
 
 
-#: Full-width forms stand 0xFEE0 above ASCII; blanks of any width are one blank.
-WIDE, BLANK = [chr(c) for c in range(0xFF01, 0xFF5F)], [chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)]
-
-
 def even_width(text: Column) -> Column:
     """Full-width ASCII and blanks folded by arithmetic; only texts that hold any are rewritten."""
     folded = F.translate(text, "".join(WIDE + BLANK), "".join(chr(ord(c) - 0xFEE0) for c in WIDE) + " " * len(BLANK))
-    return F.when(text.rlike("[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _ranges(WIDE + BLANK)) + "]"), folded).otherwise(text)
+    return F.when(text.rlike("[" + _java(_ranges(WIDE + BLANK)) + "]"), folded).otherwise(text)
 
 
 def tidy_blanks(text: Column) -> Column:
@@ -154,10 +158,12 @@ def consistent_form(df: DataFrame, key: str, text: str, out: str = "form") -> Da
     broadcast table, and the text rebuilt; a group is one text. Null and empty texts come out as they are.
     """
     spark = df.sparkSession
-    base = df.select(F.col(key).alias("_k"), even_width(F.col(text)).alias("_t"))
-    changes = F.col("_t").rlike(java_unusual()) & F.col("_t").rlike(java_class())
-    plain = base.where(~F.coalesce(changes, F.lit(False))).select("_k", F.col("_t").alias(out))
-    letters = base.where(changes).dropDuplicates(["_k"]).select("_k", F.posexplode(F.split("_t", "")).alias("_p", "_c"))
+    base = df.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+    # ASCII texts are told by their sizes; only control characters change in them
+    ascii_only = F.octet_length("_t") == F.length("_t")
+    changes = F.when(ascii_only, F.col("_t").rlike(r"[\t\r\x0B\f]")).otherwise(F.col("_t").rlike(java_unusual()) & F.col("_t").rlike(java_class()))
+    plain = base.where(~F.coalesce(changes, F.lit(False))).select("_k", even_width(F.col("_t")).alias(out))
+    letters = base.where(changes).dropDuplicates(["_k"]).select("_k", F.posexplode(F.split(even_width(F.col("_t")), "")).alias("_p", "_c"))
     decompose, compose = _frames(spark)
     read_as = letters.join(F.broadcast(decompose), letters._c == decompose.ch, "left")
     read_as = read_as.select("_k", "_p", F.posexplode(F.when(F.col("ch").isNull(), F.array("_c")).otherwise(F.col("parts"))).alias("_q", "_c"))
