@@ -81,8 +81,9 @@ def _pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
 def proportional_sample(cases: DataFrame, quota: DataFrame, seed: str = "quarry", block: int = 20_000) -> DataFrame:
     """(case_id, cell labels, probability): a sample filling the cells in proportion to count, at least one from each that has any.
 
-    The total asked for is the sum of the counts. Cells of more than block rows are spread over blocks by a hash of the case_id;
-    the blocks run the pivotal method side by side, and what each leaves undecided is decided between the blocks of a cell.
+    The total asked for is the sum of the counts. A cell of up to block rows is drawn to its exact size. Larger cells are spread over
+    blocks by a hash of the case_id, which run the pivotal method side by side; the one row a block leaves undecided is drawn with
+    the probability it is left with, so such a cell's size may differ from its target by less than one row a block.
     Repeated case_ids count once; null labels and null accepted name no cell; empty tables give an empty sample.
     """
     counts = [(tuple(r[c] for c in CELL), r["have"], r["count"]) for r in gaps(cases, quota).collect()]  # one row a quota cell
