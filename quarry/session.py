@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +26,30 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint, so that a plan used several times is computed once and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once as a Parquet table in the checkpoint folder and read back: compressed, and later reads take only their columns.
+
+    Survives lost executors like a checkpoint. The table is removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/quarry-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(_remove_stored)
+    _WRITTEN.append((spark, path))
+    return spark.read.parquet(path)
+
+
+def _remove_stored() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # the session has ended already
+            return
