@@ -224,6 +224,13 @@ def _line_languages(p: CrossParser, texts: list[str]):
     return text_no, line_no, size, cjk, words, cost, best, confidence
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """Batches in parts, to bound the arrays of symbols."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows].reset_index(drop=True)
+
+
 def document_languages(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
     """(document_id, lang, confidence) of every document with a non-empty raw_text, from its main body.
 
@@ -234,7 +241,7 @@ def document_languages(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = parser(texts)
-        for b in batches:
+        for b in _slices(batches):
             raws = b.raw_text.tolist()
             text_no, _, size, cjk, words, cost, best, _ = _line_languages(p, raws)
             prose = np.array([x.rstrip()[-1:] in _STOPS for t in raws for x in t.replace("\x1e", " ").split("\n")])
@@ -265,7 +272,7 @@ def foreign_lines(chunks: DataFrame, texts: dict[str, bytes], least: int = 30, l
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = parser(texts)
-        for b in batches:
+        for b in _slices(batches):
             text_no, line_no, size, cjk, words, cost, best, _ = _line_languages(p, b.text.tolist())
             letters = size + 2 * cjk
             votes = np.zeros((len(b), len(p.langs)))

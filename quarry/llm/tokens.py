@@ -89,8 +89,13 @@ class Encoder:
     def _learn(self, words: list[str], batch: int, steps: int, query: str) -> None:
         """Adds the ids of words. A query makes at most steps contractions a word, so that long words don't pile up rows; the next one
         goes on where it stopped, until nothing changes."""
-        for at in range(0, len(words), batch):
-            own = words[at : at + batch]
+        at = 0
+        while at < len(words):
+            own, size = [], 0
+            while at < len(words) and len(own) < batch and (not own or size + len(words[at]) <= 50_000):
+                own.append(words[at])
+                size += len(words[at])
+                at += 1
             state = [np.array([self.single[x] for x in w.encode("utf-8", "surrogatepass")], np.int32) for w in own]
             open_ = [i for i, s in enumerate(state) if len(s) > 1]
             while open_:
