@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from quarry.functions import text as T
 
@@ -58,13 +59,13 @@ def rewritten(gap: Column) -> Column:
     return F.when((F.size(rules) > 0) & (topic != ""), F.concat(topic, F.lit(" under "), F.array_join(rules, " and "))).otherwise(gap)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fully_normalized(text: pd.Series) -> pd.Series:
     """Compatibility composition, case folded, white space collapsed: what no built-in function does."""
     return text.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFKC", t).casefold().split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks, in this order of arguments; null where one is null. For candidates that a cheaper bound has left."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")

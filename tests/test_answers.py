@@ -29,4 +29,4 @@ def test_normalised_and_alike(spark):
 def test_differences(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}, "c": "x"}', '{"a": {"b": [1.0000000001, 3]}}'), (2, "{}", "broken"), (3, None, None)], "k int, e string, a string")
     got = sorted((r.k, r.path, r.expected, r.actual) for r in A.differences(df, "k", "e", "a").collect())
-    assert got == [("1", "a.b[1]", "2", "3"), ("1", "c", '"x"', None)]
+    assert got == [("1", "a.b[1]", "2", "3"), ("1", "c", '"x"', None), ("2", "", "{}", None)]
