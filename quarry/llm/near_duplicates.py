@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.forms import fold
-from quarry.session import materialise
+from quarry.session import materialise, stored
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
 PIVOTS = 12
@@ -136,7 +136,7 @@ def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold:
     at the threshold of 0.7 is proposed with a probability of 0.989, one at 0.75 with 0.999 and one at 0.8 with 0.99998, while texts
     that only share stock phrases hardly ever meet. The pivot bound loses nothing, and the last step compares whole run sets. The ids of proposed texts are broadcast up to broadcast_up_to, and joined beyond that.
     """
-    told = materialise(describe(df, key, text, k, bands, rows))
+    told = stored(describe(df, key, text, k, bands, rows))
     nodes = told.select("node", "bands").dropDuplicates(["node"])
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", (F.col("band") * F.lit(1 << 32) + F.col("value")).alias("bucket"))
     a, b = keyed.alias("a"), keyed.alias("b")
