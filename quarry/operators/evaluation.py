@@ -88,11 +88,16 @@ def bootstrap(pairs: DataFrame, case: str, a: str, b: str, samples: int = 5000,
 
 
 def stratified(cases: DataFrame, quota: DataFrame, cell: list[str], key: str = "case_id", seed: str = "42") -> DataFrame:
-    """The first count cases of each cell in order of a seeded hash of their id; ids count once, null labels match no cell."""
+    """The first count cases of each cell in order of a seeded hash of their id; ids count once, null labels match no cell.
+
+    Cells are first cut into parts, each of which keeps its first count, so a cell of a third of all cases isn't sorted in one task.
+    """
     once = cases.select(key, *cell).dropDuplicates([key])
     order = F.sha2(F.concat_ws(":", F.lit(seed), key), 256)
     joined = once.join(F.broadcast(quota.select(*cell, F.col("count").alias("wanted"))), cell)  # one row a cell
-    return joined.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy(order, key))).where("place <= wanted").select(key, *cell, "place")
+    parts = joined.withColumn("o", order).withColumn("part", F.pmod(F.xxhash64(key), F.lit(64)))
+    first = parts.withColumn("place", F.row_number().over(Window.partitionBy(*cell, "part").orderBy("o", key))).where("place <= wanted")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*cell).orderBy("o", key))).where("place <= wanted").select(key, *cell, "place")
 
 
 def distributions(cases: DataFrame, attributes: list[str]) -> DataFrame:

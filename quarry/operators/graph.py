@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarry.session import materialise
+
 # Weight and reach of each neighbour relation.
 RELATIONS = {"same_rule": (1.0, 2), "same_section": (0.55, 1), "same_chapter": (0.40, 1), "same_scenario": (0.70, 2), "keyword_overlap": (0.50, 1)}
 
@@ -13,15 +15,15 @@ RELATIONS = {"same_rule": (1.0, 2), "same_section": (0.55, 1), "same_chapter": (
 def neighbour_edges(nodes: DataFrame, group: str, relation: str, key: str = "chunk_id") -> DataFrame:
     """(src, dst, relation, weight) between each node and the next ones of its group in order of key: linear in the nodes.
 
-    Null and empty groups make no edges. A group is a window partition; one that holds a large share of the nodes is cut into ranges
-    of key first, with each range's last nodes repeated at the head of the next by the caller's choice of group.
+    Nodes are numbered over the whole frame in order of group and key, and each is joined with the numbers that follow, so a group that
+    holds a third of all nodes is spread over tasks like any other. Null and empty groups make no edges.
     """
     weight, reach = RELATIONS[relation]
-    w = Window.partitionBy(group).orderBy(key)
-    held = nodes.where((F.col(group).isNotNull()) & (F.col(group) != "")).select(group, key).distinct()
-    nexts = F.array(*[F.lead(key, i).over(w) for i in range(1, reach + 1)])
-    pairs = held.select(F.col(key).alias("a"), nexts.alias("nexts")).select("a", F.explode("nexts").alias("b")).where("b is not null")
-    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(relation).alias("relation"), F.lit(weight).alias("weight"))
+    held = nodes.where((F.col(group).isNotNull()) & (F.col(group) != "")).select(F.col(group).alias("g"), F.col(key).alias("k"))
+    placed = numbered(held, ["g", "k"])
+    steps = placed.select("g", F.col("k").alias("src"), F.explode(F.sequence(F.col("n") + 1, F.col("n") + reach)).alias("n"))
+    pairs = steps.join(placed.select(F.col("g").alias("same"), F.col("k").alias("dst"), "n"), "n").where("g = same")
+    return pairs.select("src", "dst", F.lit(relation).alias("relation"), F.lit(weight).alias("weight"))
 
 
 def canonical_edges(edges: DataFrame) -> DataFrame:
@@ -48,7 +50,7 @@ def rotating_pairs(left: DataFrame, right: DataFrame, key: str = "id") -> DataFr
 
     Positions come from a range-partitioned sort, not from one task: a row's number is its partition's offset and its place in it.
     """
-    a, b = numbered(left, key), numbered(right, key)
+    a, b = numbered(left, [key]), numbered(right, [key])
     n = b.count()
     if n == 0:
         return left.select(F.col(key).alias("src"), F.col(key).alias("dst")).limit(0)
@@ -58,15 +60,13 @@ def rotating_pairs(left: DataFrame, right: DataFrame, key: str = "id") -> DataFr
     return at.join(b.select("n", F.col(key).alias("dst")), "n").where("src <> dst").select("src", "dst")
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """key and n, its place from 0 in order of key over the whole frame."""
-    from quarry.session import materialise
-
-    sorted_ = materialise(df.select(key).distinct().repartitionByRange(key).sortWithinPartitions(key).withColumn("p", F.spark_partition_id()))
-    local = sorted_.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(key)) - 1)
-    sizes = sorted_.groupBy("p").agg(F.count("*").alias("c"))
-    offsets = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("o"))  # one row a partition
-    return local.join(F.broadcast(offsets), "p").select(key, (F.col("i") + F.col("o")).alias("n"))
+def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys and n, their place from 0 in order over the whole frame: a row's place in its range of keys and the range's offset."""
+    ranged = materialise(df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("p", F.spark_partition_id()))
+    local = ranged.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy(*keys)) - 1)
+    sizes = ranged.groupBy("p").agg(F.count("*").alias("c"))
+    offsets = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("o"))  # one row a range
+    return local.join(F.broadcast(offsets), "p").select(*keys, (F.col("i") + F.col("o")).alias("n"))
 
 
 def semantic_edges(neighbours: DataFrame, threshold: float = 0.72, low: float = 0.60, high: float = 0.85, keep: int = 5) -> DataFrame:
