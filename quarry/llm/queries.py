@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import forms, language, leakage, main_content, near_duplicates, proportions, repeated_lines, residue, splitting, tokens
-from quarry.session import read
+from quarry.session import read, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -121,7 +121,7 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_templates(spark: SparkSession, d: str) -> DataFrame:
-    return residue.templates(residue.segments(read(spark, d, "documents")))
+    return residue.templates(stored(residue.judged(stored(residue.segments(read(spark, d, "documents"))))))
 
 
 @functools.cache

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import stored
+
 # Slots of common template languages, and what they leave when no value was found.
 SLOTS = [
     r"\{\{[^{}\n]{1,60}\}\}", r"\{%[^%\n]{1,60}%\}", r"[$#]\{[^{}\n]{1,60}\}", r"\{\d{1,2}\}", r"%%[A-Z][A-Z0-9_]*%%", r"(?<![%\w])%[A-Z][A-Z0-9_]+%(?!\w)", r"@@[A-Z][A-Z0-9_]*@@",
@@ -56,26 +58,43 @@ def slots(text: Column) -> Column:
 
 
 def segments(docs: DataFrame, depth: int = 5) -> DataFrame:
-    """(doc_id, leaf, says, filler, sentence): each segment with its leaf of the prefix tree and what it looks like by itself."""
+    """(doc_id, leaf, key, low, filler, full): each segment with its leaf of the prefix tree, its lower-cased text with figures masked and
+    that text's digest, and whether it is filler or long and closed like a sentence."""
     cut = docs.where("doc_id is not null and text rlike '\\\\S'").select("doc_id", F.explode(_segments(F.col("text"))).alias("s"))
     low = F.trim(F.regexp_replace(F.lower("s"), r"[0-9a-f]*[0-9][0-9a-f]*(?:[-./:][0-9a-f]*[0-9][0-9a-f]*)*", "0"))
-    cut = cut.select("doc_id", "s", low.alias("low")).where("low <> ''")
-    words = F.regexp_extract_all("low", F.lit(r"[一-鿿]|[\p{L}\p{N}']+"), F.lit(0))
-    cut = cut.select("doc_id", "s", "low", words.alias("words"))
+    cut = cut.select("doc_id", low.alias("low")).where("low <> ''")
+    cut = cut.select("doc_id", "low", F.regexp_extract_all("low", F.lit(r"[一-鿿]|[\p{L}\p{N}']+"), F.lit(0)).alias("words"))
     lorem = F.size(F.filter("words", lambda w: w.isin(LOREM)))
-    letters = F.length(F.regexp_replace("low", r"[^\p{L}]", "")) + 2 * F.length(F.regexp_replace("low", "[^一-鿿]", ""))
+    # a Chinese character weighs as three letters
+    letters = F.aggregate("words", F.lit(0), lambda n, w: n + F.when(w.between("一", "鿿"), 3 * F.length(w)).otherwise(F.length(w)))
     return cut.select(
         "doc_id",
         F.xxhash64(F.size("words"), F.slice("words", 1, depth)).alias("leaf"),
-        F.col("low").rlike(MESSAGES).alias("says"),
+        F.xxhash64("low").alias("key"),
+        "low",
         (F.col("low").rlike(FILLER) | ((F.size("words") >= 4) & (lorem >= 0.8 * F.size("words")))).alias("filler"),
-        ((letters >= 25) & F.col("low").rlike(r"[.!?。！？;；][)”\"']?$") & ~F.col("low").rlike(CHROME)).alias("sentence"),
+        ((letters >= 25) & F.col("low").rlike(r"[.!?。！？;；][)”\"']?$")).alias("full"),
     )
 
 
+def messages(cut: DataFrame) -> DataFrame:
+    """(key, says, chrome): each distinct masked message once: whether it says what error pages and demands for scripts say, or is a
+    page's own phrase."""
+    once = cut.groupBy("key").agg(F.min("low").alias("low"))
+    return once.select("key", F.col("low").rlike(MESSAGES).alias("says"), F.col("low").rlike(CHROME).alias("chrome"))
+
+
+def judged(cut: DataFrame) -> DataFrame:
+    """(doc_id, leaf, says, filler, sentence): segments with what their message was found to be; a sentence is full and no page phrase."""
+    marked = messages(cut).where("says or chrome")
+    both = cut.select("doc_id", "leaf", "key", "filler", "full").join(marked, "key", "left")
+    says, chrome = F.coalesce("says", F.lit(False)), F.coalesce("chrome", F.lit(False))
+    return both.select("doc_id", "leaf", says.alias("says"), "filler", (F.col("full") & ~chrome).alias("sentence"))
+
+
 def templates(cut: DataFrame, alone: float = 0.5) -> DataFrame:
-    """(leaf, support, residue): the tree's leaves, classified once. A template is residue if what it says is and if it mostly stands
-    in documents without sentences that say anything else; content that speaks of errors stands among other content."""
+    """(leaf, support, residue): leaves of judged segments that say what error pages say. A template is residue if it mostly stands in
+    documents without sentences that say anything else; content that speaks of errors stands among other content."""
     by_doc = cut.groupBy("doc_id").agg(F.count_if(F.col("sentence") & ~F.col("says")).alias("other"))
     told = cut.where("says").select("doc_id", "leaf").distinct().join(by_doc, "doc_id")
     found = told.groupBy("leaf").agg(F.count("*").alias("support"), F.avg((F.col("other") == 0).cast("double")).alias("share"))
@@ -89,16 +108,14 @@ def residue_documents(docs: DataFrame, reasons: bool = False) -> DataFrame:
     demands for scripts in a document without any sentence of other content. Null, empty and blank texts are no cases; repeated
     doc_ids count once.
     """
-    from quarry.session import materialise
-
-    cut = materialise(segments(docs))
+    cut = stored(judged(stored(segments(docs))))
     verdicts = cut.join(templates(cut).where("residue").select("leaf", F.lit(True).alias("residue")), "leaf", "left")
     residue = F.col("says") & F.coalesce("residue", F.lit(False))
-    judged = verdicts.groupBy("doc_id").agg(
+    told = verdicts.groupBy("doc_id").agg(
         F.coalesce(F.bool_or("filler"), F.lit(False)).alias("filler"),
         (F.bool_or(residue) & ~F.bool_or(F.col("sentence") & ~residue & ~F.col("filler"))).alias("message"),
     )
     marked = docs.where(F.col("doc_id").isNotNull() & slots(F.col("text"))).select("doc_id").distinct().withColumn("slot", F.lit(True))
-    out = judged.where("filler or message").join(marked, "doc_id", "full")
+    out = told.where("filler or message").join(marked, "doc_id", "full")
     out = out.select("doc_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("slot", "filler", "message")])
     return out if reasons else out.select("doc_id")
