@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.functions import text as T
+from quarry.session import stored
 
 K1, B = 1.5, 0.75
 
@@ -35,16 +36,17 @@ def lexical_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text")
 def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, chunk_id, score, rank): positive scores only, best k of each query, ties by chunk_id; scores rounded to 6 places.
 
-    Only terms of the queries are indexed: the token lists are made once for the statistics, and postings shrink by a join with the
-    queries' terms (spread by term, broadcast by Spark where it is small) before anything else is shuffled. Repeated query tokens add.
+    Only terms of the queries are indexed: postings shrink by a join with the queries' terms (broadcast by Spark where they are few)
+    before they are counted, and the rest is kept as a table, since both document frequencies and scores read it. Repeated query
+    tokens add.
     """
-    docs = chunks.select(F.col(key).alias("chunk_id"), F.coalesce(T.bm25_tokens(text), F.array().cast("array<string>")).alias("tokens"))
-    docs = docs.groupBy("chunk_id").agg(F.first("tokens").alias("tokens"))
+    docs = chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("text")).dropDuplicates(["chunk_id"])
+    docs = docs.select("chunk_id", F.coalesce(T.bm25_tokens("text"), F.array().cast("array<string>")).alias("tokens"))
     corpus = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = queries.select("query_id", F.explode(T.bm25_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
     postings = docs.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(words, "term", "left_semi")
-    postings = postings.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf"))
+    postings = stored(postings.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
