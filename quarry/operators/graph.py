@@ -86,3 +86,11 @@ def tags(text: Column, words: dict[str, list[str]]) -> Column:
     """Sorted names of the word lists of which any word stands in the text."""
     found = [F.when(F.arrays_overlap(F.array(*[F.contains(text, F.lit(w)) for w in ws]), F.array(F.lit(True))), F.lit(k)) for k, ws in sorted(words.items())]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def ruleset(path: Column, start: Column, named: str) -> Column:
+    """The rule set a chunk belongs to, told from its normalised path, else from the start of its text; named: a pattern around a name."""
+    return (
+        F.when(path.rlike("(^|/)gem\\.pdf$|/gem/|(^|/)gem_[^/]*$"), "gem").when(path.rlike("main_board[^/]*$|/main_board/"), "main_board").when(path.contains("guidance"), "guidance")
+        .when(start.rlike(named.format("main board")), "main_board").when(start.rlike(named.format("gem")), "gem").otherwise("unknown")
+    )

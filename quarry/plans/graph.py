@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import answers as A
 from quarry.operators import graph as G
 from quarry.plans.retrieval import _REFS
 from quarry.session import read
@@ -100,9 +101,62 @@ def graph_stats(spark, d):
     return neighbour_edges(spark, d).groupBy("relation").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
 
 
+# The words around a name of a rule set: none that make it part of another word.
+_NAMED = "(?i)(^|[^\\p{{L}}\\p{{N}}_]){0}($|[^\\p{{L}}\\p{{N}}_])"
+
+
+def corpus_neighbour_edges(spark, d):
+    """Neighbours by rule, section title, rule set and chapter, and keyword over the whole corpus, whatever the document.
+
+    neighbour_edges takes sections and chapters document by document, as its SQL does. Titles are compared in full normalisation; the
+    tables hold no rule set, so it is told from path and text as in the reference.
+    """
+    n = read(spark, d, "chunk").where("chunk_id is not null")
+    start = F.substring(F.coalesce("text", F.lit("")), 1, 500)
+    n = n.withColumn("in_chapter", F.concat_ws(":", G.ruleset(T.normalized_path(F.coalesce("source_path", F.lit(""))), start, _NAMED), "chapter"))
+    edges = G.neighbour_edges(n, "rule_number", "same_rule")
+    edges = edges.unionByName(G.neighbour_edges(n.withColumn("section", A.fully_normalized("section_title")), "section", "same_section"))
+    edges = edges.unionByName(G.neighbour_edges(n.where("chapter <> ''"), "in_chapter", "same_chapter"))
+    words = {w: [w] for ws in TOPICS.values() for w in ws}
+    edges = edges.unionByName(G.neighbour_edges(n.select("chunk_id", F.explode(G.tags(F.lower("text"), words)).alias("keyword")), "keyword", "keyword_overlap"))
+    return G.canonical_edges(edges)
+
+
+def _corpus_sql(relation: str, rows: str) -> str:
+    """Edges of rows (g, chunk_id)."""
+    weight, reach = G.RELATIONS[relation]
+    return " UNION ALL ".join(f"SELECT chunk_id AS a, lead(chunk_id, {i}) OVER (PARTITION BY g ORDER BY chunk_id) AS b, '{relation}' AS relation, {weight} AS weight FROM (SELECT DISTINCT g, chunk_id FROM ({rows}) WHERE g <> '' AND chunk_id IS NOT NULL)" for i in range(1, reach + 1))
+
+
+_EDGES_OF = "SELECT least(a, b) AS src, greatest(a, b) AS dst, relation, max(weight)::DOUBLE AS weight FROM ({}) WHERE b IS NOT NULL GROUP BY ALL"
+_PATH = "lower(regexp_replace(replace(coalesce(source_path, ''), '\\', '/'), '/+', '/', 'g'))"
+_RULESET = f"""CASE WHEN regexp_matches({_PATH}, '(^|/)gem\\.pdf$|/gem/|(^|/)gem_[^/]*$') THEN 'gem' WHEN regexp_matches({_PATH}, 'main_board[^/]*$|/main_board/') THEN 'main_board'
+  WHEN contains({_PATH}, 'guidance') THEN 'guidance' WHEN regexp_matches(left(text, 500), '{_NAMED.format("main board")}') THEN 'main_board' WHEN regexp_matches(left(text, 500), '{_NAMED.format("gem")}') THEN 'gem' ELSE 'unknown' END"""
+_KEYWORD_ROWS = " UNION ALL ".join(f"SELECT '{w}' AS g, chunk_id FROM chunk WHERE contains(lower(text), '{w}')" for ws in TOPICS.values() for w in ws)
+CORPUS_NEIGHBOURS = _EDGES_OF.format(
+    " UNION ALL ".join([
+        _corpus_sql("same_rule", "SELECT rule_number AS g, chunk_id FROM chunk"),
+        _corpus_sql("same_section", "SELECT trim(regexp_replace(lower(section_title), '\\s+', ' ', 'g')) AS g, chunk_id FROM chunk"),
+        _corpus_sql("same_chapter", f"SELECT {_RULESET} || ':' || chapter AS g, chunk_id FROM chunk WHERE chapter <> ''"),
+        _corpus_sql("keyword_overlap", _KEYWORD_ROWS),
+    ])
+)
+
+
+def corpus_connected_pairs(spark, d):
+    return G.connected_pairs(corpus_neighbour_edges(spark, d).unionByName(reference_edges(spark, d)), _nodes(spark, d))
+
+
+def corpus_graph_stats(spark, d):
+    return corpus_neighbour_edges(spark, d).groupBy("relation").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
+
+
 QUERIES = {
     "graph_nodes": (graph_nodes, f"SELECT DISTINCT chunk_id, {_tag_sql('lower(text)')} AS topics, CASE WHEN regexp_matches(text, '[一-鿿]') AND NOT regexp_matches(text, '[A-Za-z]') THEN 'zh' WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) >= 8 AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' ELSE 'en' END AS language FROM chunk"),
     "neighbour_edges": (neighbour_edges, NEIGHBOURS),
+    "corpus_neighbour_edges": (corpus_neighbour_edges, CORPUS_NEIGHBOURS),
+    "corpus_connected_pairs": (corpus_connected_pairs, CONNECTED.replace(NEIGHBOURS, CORPUS_NEIGHBOURS)),
+    "corpus_graph_stats": (corpus_graph_stats, f"SELECT relation, count(*) AS edges, count(DISTINCT src) AS sources FROM ({CORPUS_NEIGHBOURS}) GROUP BY relation"),
     "topic_edges": (topic_edges, TOPIC_EDGES),
     "reference_edges": (reference_edges, REFERENCES),
     "rotating_pairs": (rotating_pairs, ROTATING),

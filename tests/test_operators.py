@@ -3,6 +3,7 @@ import math
 from pyspark.sql import functions as F
 
 from quarry.operators import corpus, evaluation, governance, graph, retrieval, sessions
+from quarry.plans import graph as graph_plans
 
 
 def test_bm25_matches_brute_force(spark, rows):
@@ -86,6 +87,18 @@ def test_edges(spark, rows):
     assert rows(graph.canonical_edges(twice)) == [("b", "x", "a", 0.7)]
 
 
+def chunks(spark, folder, rows):
+    """A data folder with a chunk table of (chunk_id, document_id, chapter, section_title, source_path, text)."""
+    spark.createDataFrame([(*r, None) for r in rows], "chunk_id string, document_id string, chapter string, section_title string, source_path string, text string, rule_number string").write.parquet(f"{folder}/chunk.parquet")
+    return str(folder)
+
+
+def test_sections_chapters_and_keywords_link_documents(spark, tmp_path):
+    d = chunks(spark, tmp_path, [("a1", "a", "1", "Share  Issues", "files/main_board/x", "a disposal"), ("b1", "b", "1", "share issues", "files/main_board/y", "none"), ("c1", "c", "1", "Ｓhare issues", "files/gem/z", "Disposal"), ("d1", None, "2", "", "", "GEM report"), ("e1", "e", "2", None, None, "of gem")])
+    got = {(r.src, r.dst, r.relation) for r in graph_plans.corpus_neighbour_edges(spark, d).collect()}
+    assert got == {("a1", "b1", "same_section"), ("b1", "c1", "same_section"), ("a1", "b1", "same_chapter"), ("d1", "e1", "same_chapter"), ("a1", "c1", "keyword_overlap")}
+
+
 def test_rotating_pairs_shift_on_self(spark):
     left, right = spark.createDataFrame([(x,) for x in "abcde"], "id string"), spark.createDataFrame([(x,) for x in "ab"], "id string")
     assert {(r.src, r.dst) for r in graph.rotating_pairs(left, right).collect()} == {("a", "b"), ("b", "a"), ("c", "a"), ("d", "b"), ("e", "a")}
