@@ -51,7 +51,7 @@ NEIGHBOURS = f"""
 
 
 def topic_edges(spark, d):
-    """Neighbours within each topic (a value of many) and language; topics are cut by document, so none is one group."""
+    """Neighbours within each topic (a value of many) of a document; corpus_topic_edges goes across documents."""
     n = _nodes(spark, d).select("chunk_id", "document_id", F.explode(G.tags(F.lower("text"), TOPICS)).alias("topic"))
     return G.canonical_edges(G.neighbour_edges(n.withColumn("g", F.concat_ws("|", "document_id", "topic")), "g", "same_scenario"))
 
@@ -151,6 +151,15 @@ def corpus_graph_stats(spark, d):
     return corpus_neighbour_edges(spark, d).groupBy("relation").agg(F.count("*").alias("edges"), F.count_distinct("src").alias("sources"))
 
 
+def corpus_topic_edges(spark, d):
+    """Neighbours within each topic (a value of many) over all chunks; topic_edges stays within documents, as its SQL does."""
+    n = read(spark, d, "chunk").where("chunk_id is not null").select("chunk_id", F.explode(G.tags(F.lower("text"), TOPICS)).alias("topic"))
+    return G.canonical_edges(G.neighbour_edges(n, "topic", "same_scenario"))
+
+
+_SCENARIO_ROWS = " UNION ALL ".join(f"SELECT '{k}' AS g, chunk_id FROM chunk WHERE {' OR '.join(f'contains(lower(text), ' + repr(w) + ')' for w in ws)}" for k, ws in sorted(TOPICS.items()))
+
+
 QUERIES = {
     "graph_nodes": (graph_nodes, f"SELECT DISTINCT chunk_id, {_tag_sql('lower(text)')} AS topics, CASE WHEN regexp_matches(text, '[一-鿿]') AND NOT regexp_matches(text, '[A-Za-z]') THEN 'zh' WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) >= 8 AND regexp_matches(text, '[A-Za-z]') THEN 'mixed' ELSE 'en' END AS language FROM chunk"),
     "neighbour_edges": (neighbour_edges, NEIGHBOURS),
@@ -158,6 +167,7 @@ QUERIES = {
     "corpus_connected_pairs": (corpus_connected_pairs, CONNECTED.replace(NEIGHBOURS, CORPUS_NEIGHBOURS)),
     "corpus_graph_stats": (corpus_graph_stats, f"SELECT relation, count(*) AS edges, count(DISTINCT src) AS sources FROM ({CORPUS_NEIGHBOURS}) GROUP BY relation"),
     "topic_edges": (topic_edges, TOPIC_EDGES),
+    "corpus_topic_edges": (corpus_topic_edges, _EDGES_OF.format(_corpus_sql("same_scenario", _SCENARIO_ROWS))),
     "reference_edges": (reference_edges, REFERENCES),
     "rotating_pairs": (rotating_pairs, ROTATING),
     "connected_pairs": (connected_pairs, CONNECTED),

@@ -99,6 +99,12 @@ def test_sections_chapters_and_keywords_link_documents(spark, tmp_path):
     assert got == {("a1", "b1", "same_section"), ("b1", "c1", "same_section"), ("a1", "b1", "same_chapter"), ("d1", "e1", "same_chapter"), ("a1", "c1", "keyword_overlap")}
 
 
+def test_topics_link_documents(spark, tmp_path):
+    d = chunks(spark, tmp_path, [(x, x, None, None, None, t) for x, t in [("a", "a disposal"), ("b", "none"), ("c", "Disposal"), ("d", "出售事項"), ("e", "disposal, financing")]])
+    got = {(r.src, r.dst) for r in graph_plans.corpus_topic_edges(spark, d).collect()}
+    assert got == {("a", "c"), ("a", "d"), ("c", "d"), ("c", "e"), ("d", "e")}
+
+
 def test_rotating_pairs_shift_on_self(spark):
     left, right = spark.createDataFrame([(x,) for x in "abcde"], "id string"), spark.createDataFrame([(x,) for x in "ab"], "id string")
     assert {(r.src, r.dst) for r in graph.rotating_pairs(left, right).collect()} == {("a", "b"), ("b", "a"), ("c", "a"), ("d", "b"), ("e", "a")}
