@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.session import stored
+
 CELL = ["primary_category", "language", "difficulty"]
 
 
@@ -54,8 +56,11 @@ def tilted(have: np.ndarray, target: np.ndarray, floor: float = 1.0, steps: int
     return p
 
 
-def _pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Sequential pivotal method: at most one of each dueling pair stays undecided; draws a fixed size when p sums to an integer."""
+def _pivotal(p: np.ndarray, u: np.ndarray, decide: bool = True) -> np.ndarray:
+    """Sequential pivotal method: at most one of each dueling pair stays undecided; draws a fixed size when p sums to an integer.
+
+    Without decide the probabilities left: 0, 1, and that of the row left undecided, if any.
+    """
     p, eps = p.astype(float).copy(), 1e-9
     i = 0
     for j in range(1, len(p)):
@@ -73,6 +78,8 @@ def _pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
             p[i], p[j] = (a + b - 1, 1) if win else (1, a + b - 1)
         if p[i] < eps or p[i] > 1 - eps:
             i = j
+    if not decide:
+        return np.where(p < eps, 0.0, np.where(p > 1 - eps, 1.0, p))
     if eps < p[i] < 1 - eps:
         p[i] = float(u[i] < p[i])
     return p > 0.5
@@ -81,9 +88,9 @@ def _pivotal(p: np.ndarray, u: np.ndarray) -> np.ndarray:
 def proportional_sample(cases: DataFrame, quota: DataFrame, seed: str = "quarry", block: int = 20_000) -> DataFrame:
     """(case_id, cell labels, probability): a sample filling the cells in proportion to count, at least one from each that has any.
 
-    The total asked for is the sum of the counts. A cell of up to block rows is drawn to its exact size. Larger cells are spread over
-    blocks by a hash of the case_id, which run the pivotal method side by side; the one row a block leaves undecided is drawn with
-    the probability it is left with, so such a cell's size may differ from its target by less than one row a block.
+    The total asked for is the sum of the counts; every cell is drawn to its exact size, whatever its number of rows. Cells of more
+    than block rows are spread over blocks by a hash of the case_id, which run the pivotal method side by side; the one row a block
+    leaves undecided duels with those of the cell's other blocks, with the probability it is left with.
     Repeated case_ids count once; null labels and null accepted name no cell; empty tables give an empty sample.
     """
     counts = [(tuple(r[c] for c in CELL), r["have"], r["count"]) for r in gaps(cases, quota).collect()]  # one row a quota cell
@@ -91,14 +98,23 @@ def proportional_sample(cases: DataFrame, quota: DataFrame, seed: str = "quarry"
     odds = cases.sparkSession.createDataFrame([(*c, float(x), int(h)) for (c, h, _), x in zip(counts, p)], "primary_category string, language string, difficulty string, probability double, have long")
     u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "case_id"), 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
     pool = usable(cases, quota).dropDuplicates(["case_id"]).join(F.broadcast(odds), CELL).withColumn("u", u)
-    pool = pool.withColumn("block", (F.xxhash64("case_id") % F.greatest(F.ceil(F.col("have") / block), F.lit(1))).cast("long"))
+    pool = pool.withColumn("block", F.pmod(F.xxhash64("case_id"), F.greatest(F.ceil(F.col("have") / block), F.lit(1)).cast("long")))
+    row = "case_id string, primary_category string, language string, difficulty string, probability double"
+
+    def duel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("u", ignore_index=True)
+        left = _pivotal(pdf.probability.to_numpy(), pdf.u.to_numpy()[::-1].copy(), decide=False)
+        return pdf.assign(left=left)[left > 0]
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("u", ignore_index=True)
-        size = round(float(pdf.probability.sum()))
-        taken = _pivotal(pdf.probability.to_numpy(), pdf.u.to_numpy()[::-1].copy())
-        if pdf.have[0] <= block and taken.sum() != size:  # rounding left one row undecided
+        size = round(float(pdf.left.sum()))
+        taken = _pivotal(pdf.left.to_numpy(), pdf.u.to_numpy()[::-1].copy())
+        if taken.sum() != size:  # rounding left one row undecided
             taken = (np.argsort(np.argsort(~taken, kind="stable"), kind="stable") < size)
         return pdf[taken][["case_id", *CELL, "probability"]]
 
-    return pool.groupBy(*CELL, "block").applyInPandas(draw, "case_id string, primary_category string, language string, difficulty string, probability double")
+    dueled = stored(pool.groupBy(*CELL, "block").applyInPandas(duel, f"{row}, have long, u double, block long, left double"))
+    # one undecided row a block, so a cell's are few
+    last = dueled.where("left < 1").groupBy(*CELL).applyInPandas(settle, row)
+    return dueled.where("left = 1").select("case_id", *CELL, "probability").unionByName(last)

@@ -148,6 +148,14 @@ def test_sample_and_gaps(spark):
     assert proportions.proportional_sample(cases.limit(0), quota).count() == 0 and proportions.proportional_sample(cases, quota.limit(0)).count() == 0
 
 
+def test_large_cells_meet_their_targets(spark):
+    quota = spark.createDataFrame([("a", "en", "easy", 1), ("b", "en", "easy", 8), ("c", "en", "easy", 40), ("d", "en", "easy", 0)], "primary_category string, language string, difficulty string, count int")
+    cases = spark.range(2000).selectExpr("concat('k', id) AS case_id", "substring('abcd', cast(id % 4 AS int) + 1, 1) AS primary_category", "'en' AS language", "'easy' AS difficulty", "true AS accepted")
+    for seed in "xyz":
+        got = proportions.proportional_sample(cases, quota, seed, block=25).groupBy("primary_category").agg(F.count_distinct("case_id").alias("n"), F.count("*").alias("rows")).collect()
+        assert {r.primary_category: (r.n, r.rows) for r in got} == {"a": (1, 1), "b": (8, 8), "c": (40, 40), "d": (1, 1)}
+
+
 # problem 5
 
 SAME = [("Test, size 12", ["Ｔｅｓｔ， size 12", "Tеst, size 12", "Te​st, size １２", " Test,  size 12\r"]), ("é à", ["é à"]), ("ệ", ["ệ", "ệ", "ệ"]), ("profit IV", ["proﬁt Ⅳ"]), ("well-known", ["well‑known"])]
