@@ -101,7 +101,7 @@ def _nodes(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def describe(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int) -> DataFrame:
-    """(id, node, size, pivots, bands): what pairs are found with; node is a 64-bit digest of the run set, bands hold 32-bit digests
+    """(id, raw, node, size, pivots, bands): what pairs are found with; raw and node are 64-bit digests of the text and of its run set, bands hold 32-bit digests
     beside their number. Texts below k words are left out. A few hundred bytes a text; run sets are made again where they're verified."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,10 +110,10 @@ def describe(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
             has = np.flatnonzero(np.diff(bounds))
             starts = bounds[has]
             if len(has):
-                yield pd.DataFrame({"id": b.id.to_numpy()[has], "node": _nodes(x, starts), "size": np.diff(bounds)[has].astype(np.int32), "pivots": list(pivot_distances(x, starts)), "bands": list(signatures(x, starts, bands, rows))})
+                yield pd.DataFrame({"id": b.id.to_numpy()[has], "raw": b.raw.to_numpy()[has], "node": _nodes(x, starts), "size": np.diff(bounds)[has].astype(np.int32), "pivots": list(pivot_distances(x, starts)), "bands": list(signatures(x, starts, bands, rows))})
 
-    given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return given.mapInPandas(work, "id string, node bigint, size int, pivots array<smallint>, bands array<int>")
+    given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("raw"))
+    return given.mapInPandas(work, "id string, raw bigint, node bigint, size int, pivots array<smallint>, bands array<int>")
 
 
 def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int, small: bool) -> DataFrame:
@@ -130,7 +130,7 @@ def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int, sma
 
 
 def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, bands: int = 36, rows: int = 6, broadcast_up_to: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every text of k words or more, and (a, b, similarity) between the nodes of different texts.
+    """(id, node, raw) of every text of k words or more, and (a, b, similarity) between the nodes of different texts.
 
     Texts with equal run sets are one node; only nodes are compared, so a text's copies cost nothing. With 36 bands of 6 rows a pair
     at the threshold of 0.7 is proposed with a probability of 0.989, one at 0.75 with 0.999 and one at 0.8 with 0.99998, while texts
@@ -157,7 +157,7 @@ def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold:
     both = near.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     pairs = both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
-    return told.select("id", "node").distinct(), pairs
+    return told.groupBy("id", "node").agg(F.min("raw").alias("raw")), pairs
 
 
 def _hinted(df: DataFrame, up_to: int) -> DataFrame:
@@ -169,23 +169,25 @@ def _hinted(df: DataFrame, up_to: int) -> DataFrame:
 def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text", all_up_to: int = 1000, **options) -> DataFrame:
     """(chunk_a, chunk_b): pairs of ids, smaller first, whose texts are nearly the same, copies included.
 
-    A pair of nodes stands for the pairs between their members; nodes of up to all_up_to members are written out, larger ones give
-    each member's pair with the node's smallest id only, which loses no link between different texts. Null, empty and short texts
-    and rows without an id make no pairs; rows of one id count once; empty tables give none.
+    A pair of nodes stands for the pairs between their members. Only exact copies are represented: of a text with more than
+    all_up_to copies the smallest id makes the pairs with other texts, of its node and of near ones, and each copy is paired with
+    that id; pairs between different texts are all written out. Null, empty and short texts and rows without an id make no pairs;
+    rows of one id count once; empty tables give none.
     """
     members, pairs = classes_and_pairs(df, key, text, **options)
-    sizes = members.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
+    texts = members.groupBy("node", "raw").agg(F.count("*").alias("copies"), F.min("id").alias("head"))
+    texts = texts.select("node", "raw", "copies", F.when(F.col("copies") > all_up_to, F.col("head")).alias("head"))
+    sizes = texts.groupBy("node").agg(F.sum("copies").alias("n"))
     pairs = materialise(pairs.select("a", "b"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = sizes.join(ends.withColumn("paired", F.lit(True)), "node", "left").where("n > 1 or paired")
-    many = materialise(members.join(wanted.select("node", "n", "leader"), "node"))
-    shown = many.where((F.col("n") <= all_up_to) | (F.col("id") == F.col("leader")))
+    wanted = sizes.join(ends.withColumn("paired", F.lit(True)), "node", "left").where("n > 1 or paired").select("node", "n")
+    many = materialise(members.join(texts.join(wanted, "node").select("node", "raw", "n", "head"), ["node", "raw"]).select("node", "id", "n", "head"))
+    shown = many.where("head is null or id = head")
     x, y = shown.select(F.col("node").alias("a"), F.col("id").alias("p")), shown.select(F.col("node").alias("b"), F.col("id").alias("q"))
     across = pairs.join(x, "a").join(y, "b").select("p", "q")
-    copies = many.where("n > 1")
-    small = copies.where(F.col("n") <= all_up_to)
-    inside = small.select("node", F.col("id").alias("p")).join(small.select("node", F.col("id").alias("q")), "node").where("p < q").select("p", "q")
-    hot = copies.where((F.col("n") > all_up_to) & (F.col("id") != F.col("leader"))).select(F.col("leader").alias("p"), F.col("id").alias("q"))
+    close = shown.where("n > 1")
+    inside = close.select("node", F.col("id").alias("p")).join(close.select("node", F.col("id").alias("q")), "node").where("p < q").select("p", "q")
+    hot = many.where("id <> head").select(F.col("head").alias("p"), F.col("id").alias("q"))
     out = across.unionByName(inside).unionByName(hot)
     return out.select(F.least("p", "q").alias("chunk_a"), F.greatest("p", "q").alias("chunk_b"))
 

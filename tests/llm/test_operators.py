@@ -222,6 +222,15 @@ def test_near_duplicates_equal_brute_force(spark, rows):
     assert near_duplicates.near_duplicate_pairs(df.limit(0)).count() == 0
 
 
+def test_hot_copies_hide_no_other_text(spark, rows):
+    base = [f"w{i}" for i in range(20)]
+    text, near = " ".join(base), " ".join([*base, "more"])
+    texts = {**{f"a{i}": text for i in range(4)}, "v1": text.upper(), "v2": text.replace(" ", ", "), "x": near, "y": near.upper()}
+    heads = ["a0", "v1", "v2", "x", "y"]
+    want = sorted([(a, b) for a in heads for b in heads if a < b] + [("a0", f"a{i}") for i in range(1, 4)])
+    assert rows(near_duplicates.near_duplicate_pairs(spark.createDataFrame([*texts.items()], "chunk_id string, text string"), all_up_to=3)) == want
+
+
 def test_pivot_bound_loses_nothing():
     rng = np.random.default_rng(3)
     for _ in range(50):
