@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.frequent_sequences(repeated_lines.web_documents(read(spark, d, "source_document")))
+    return repeated_lines.repeated_sequences(repeated_lines.web_documents(read(spark, d, "source_document")))
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:

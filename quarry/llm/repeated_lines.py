@@ -37,7 +37,8 @@ def frequent_lines(lines: DataFrame, needed: DataFrame) -> DataFrame:
 
 
 def frequent_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2, max_length: int = 4) -> DataFrame:
-    """(site, sequence, support): frequent sequences of line keys, in order and with any lines between, up to max_length.
+    """(site, sequence, support): frequent sequences of different lines, each at its first place in a document, up to max_length;
+    repeated_sequences gives all.
 
     Each level keeps a projected database: of every document that holds a pattern, the pattern's earliest end. A level's rows are
     extended by the document's later frequent lines; the lines of a longer pattern are all frequent themselves, so a document's
@@ -57,6 +58,29 @@ def frequent_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2,
     return found
 
 
+def repeated_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
+    """(site, sequence, support): all frequent sequences of line keys, of any length, in order and with any lines between.
+
+    PrefixSpan as a whole: a line may stand in a sequence more than once, and every place of a frequent line counts. Each level
+    keeps of every document that holds a pattern the pattern's earliest end, extends it by each later line's first place after that
+    end, and the levels go on until one is empty. The subsequences of a frequent sequence are frequent too, so a block of n lines
+    gives 2^n - 1 rows. Rows of one document_id count once; empty input gives no rows.
+    """
+    lines, needed = lines_of(df), materialise(thresholds(df, min_docs, min_share))
+    items = materialise(lines.join(frequent_lines(lines, needed).select("site", "key"), ["site", "key"]).select("site", "document_id", "key", "line_no").distinct())
+    level = items.groupBy("site", "document_id", F.array("key").alias("sequence")).agg(F.min("line_no").alias("end"))
+    found = level.groupBy("site", "sequence").agg(F.count("*").alias("support"))
+    while True:
+        later = level.join(items, ["site", "document_id"]).where("line_no > end")
+        longer = materialise(later.groupBy("site", "document_id", F.concat("sequence", F.array("key")).alias("sequence")).agg(F.min("line_no").alias("end")))
+        counts = longer.groupBy("site", "sequence").agg(F.count("*").alias("support")).join(needed, "site").where("support >= needed").select("site", "sequence", "support")
+        counts = materialise(counts)
+        if counts.limit(1).count() == 0:
+            return found
+        level = longer.join(counts.select("site", "sequence"), ["site", "sequence"])
+        found = found.unionByName(counts)
+
+
 def web_documents(df: DataFrame) -> DataFrame:
     """(site, document_id, cleaned_text) of web pages with a non-empty cleaned_text."""
     return df.where("document_id is not null and metadata.source_url is not null and cleaned_text <> ''").select(site_of().alias("site"), "document_id", "cleaned_text")

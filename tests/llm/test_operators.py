@@ -54,6 +54,24 @@ def test_sequences_equal_brute_force(spark):
     assert {tuple(names[k] for k in s): n for s, n in got.items()} == want
 
 
+def test_long_and_repeating_sequences(spark):
+    import itertools
+    from collections import Counter
+
+    texts = ["a\nb\nc\nd\ne\nf", "x\na\nb\nc\ny\nd\ne\nf", "b\na\nb", "b\nb\na\na\nb", "a\nb\nc\nd\ne\nf\na", "c\nb\na"]
+    support = Counter()
+    for t in texts:
+        lines = t.split("\n")
+        support.update({s for n in range(1, len(lines) + 1) for s in itertools.combinations(lines, n)})
+    want = {s: n for s, n in support.items() if n >= 3}
+    web = repeated_lines.web_documents(docs(spark, [(f"d{i}", "web/s.example/x", None, t) for i, t in enumerate(texts)]))
+    names = {r.key: r.line for r in spark.createDataFrame([(w,) for w in "abcdefxy"], "line string").select("line", F.xxhash64("line").alias("key")).collect()}
+    got = repeated_lines.repeated_sequences(web, 3, 0.2).collect()
+    assert len(got) == len(want) and {tuple(names[k] for k in r.sequence): r.support for r in got} == want
+    assert ("a", "b", "c", "d", "e", "f") in want and support[("b", "a")] == 4
+    assert repeated_lines.repeated_sequences(web.limit(0)).count() == 0
+
+
 # problem 2
 
 SPEECH = {
