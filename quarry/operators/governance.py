@@ -65,20 +65,23 @@ def violations(checks: dict[str, Column]) -> Column:
     return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
 
 
-def first_without_near_duplicate(ids: DataFrame, pairs: DataFrame, key: str = "id", most_rounds: int = 100) -> DataFrame:
+def first_without_near_duplicate(ids: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
     """ids accepted one by one in order, each unless it nearly equals an accepted one: the result of the sequential loop.
 
     pairs (a, b) with a before b. In each round an id without undecided or accepted earlier partners is accepted, and one with an
-    accepted earlier partner rejected, until all are decided; rounds are bounded by the longest chain.
+    accepted earlier partner rejected, until all are decided, as many rounds as the longest chain has ids; pairs in a circle raise an error.
     """
     from quarry.session import materialise
 
     edges = materialise(pairs.select("a", "b").distinct())
     state = materialise(ids.select(F.col(key).alias("id")).distinct().withColumn("ok", F.lit(None).cast("boolean")))
-    for _ in range(most_rounds):
+    undecided = None
+    while undecided != 0:
         before = edges.join(state.select(F.col("id").alias("a"), F.col("ok").alias("a_ok")), "a").groupBy("b").agg(F.coalesce(F.bool_or("a_ok"), F.lit(False)).alias("taken"), F.count_if(F.col("a_ok").isNull()).alias("open"))
         seen = state.join(before, state.id == before.b, "left")
         state = materialise(seen.select("id", F.coalesce("ok", F.when(F.col("taken"), False).when(F.coalesce("open", F.lit(0)) == 0, True)).alias("ok")))
-        if state.where("ok is null").limit(1).count() == 0:
-            break
+        left = state.where("ok is null").count()
+        if left and left == undecided:
+            raise ValueError("pairs (a, b) must have a before b")
+        undecided = left
     return state.where("ok").select(F.col("id").alias(key))

@@ -152,6 +152,12 @@ def test_greedy_acceptance_equals_the_loop(spark):
     assert sorted(r.id for r in got.collect()) == accepted
 
 
+def test_greedy_acceptance_decides_long_chains(spark):
+    n = 104
+    ids, chain = spark.range(n).select(F.col("id").cast("int")).coalesce(1), spark.range(n - 1).selectExpr("cast(id AS int) AS a", "cast(id + 1 AS int) AS b").coalesce(1)
+    assert sorted(r.id for r in governance.first_without_near_duplicate(ids, chain).collect()) == list(range(0, n, 2))
+
+
 def test_sessions(spark):
     t = spark.createDataFrame([("c", f"q{i}", i) for i in range(5)] + [(None, "x", 1)], "s string, q string, at int")
     assert [r.q for r in sessions.recent(t, "s", ["at"], 2).orderBy("place").collect()] == ["q4", "q3"]
