@@ -197,18 +197,18 @@ def _classes(spark: SparkSession) -> DataFrame:
 def same_reading_pairs(df: DataFrame, key: str, text: str, all_up_to: int = 1000) -> DataFrame:
     """Pairs (id_a, id_b), smaller first, whose texts read the same but differ in code points; empty and null texts make none, nor do rows without an id.
 
-    Forms are compared by 128-bit digests. A class of up to all_up_to ids gives all its pairs; in a larger one, copies of equal
-    code points are represented: each id is paired with the smallest id of every other distinct text, so no link between
-    different texts is lost and a hot text's copies aren't multiplied with each other.
+    Forms are compared by 128-bit digests. Only copies of equal code points are represented: of a text with more than all_up_to
+    copies, an id is paired with the smallest id of every other text of its class, and the smallest id with every id, so no link
+    between different texts is lost and a hot text's copies aren't multiplied; texts of up to all_up_to copies give all their pairs.
     """
     given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("t"))
     formed = consistent_form(given, "id", "t", "form").select("id", F.md5("form").alias("form"))
     raw = given.select("id", F.md5("t").alias("raw"))
     both = materialise(raw.join(formed, "id").distinct())
-    classes = both.groupBy("form").agg(F.count_distinct("raw").alias("texts"), F.count("*").alias("ids")).where("texts > 1")
+    classes = both.groupBy("form").agg(F.count_distinct("raw").alias("texts")).where("texts > 1")
     rows = materialise(both.join(classes, "form"))
-    heads = rows.groupBy("form", "raw").agg(F.min("id").alias("head"))
+    heads = rows.groupBy("form", "raw").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     rows = rows.join(heads, ["form", "raw"]).withColumn("first", F.col("head") == F.col("id"))
     a, b = rows.alias("a"), rows.alias("b")
-    keep = (F.col("a.ids") <= all_up_to) | F.col("a.first") | F.col("b.first")
+    keep = (F.greatest("a.copies", "b.copies") <= all_up_to) | F.col("a.first") | F.col("b.first")
     return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")) & keep).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))

@@ -209,6 +209,12 @@ def test_same_reading_pairs(spark, rows):
     assert forms.same_reading_pairs(df.limit(0), "id", "t").count() == 0
 
 
+def test_same_reading_pairs_of_many_texts_are_whole(spark, rows):
+    texts = {"a1": "test", "a2": "test", "b1": "tеst", "b2": "tеst", "c1": "ｔest", "c2": "ｔest"}
+    got = rows(forms.same_reading_pairs(spark.createDataFrame([*texts.items()], "id string, t string"), "id", "t", all_up_to=3))
+    assert got == sorted((a, b) for a in texts for b in texts if a < b and texts[a] != texts[b])
+
+
 # problem 6
 
 
