@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Uses the shared folder the cluster names in spark.checkpoint.dir. A folder of our own serves only where that is unset and all
+    tasks run in this process, as in tests; on a cluster that is an error, since executors can't share a machine's folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quarry-checkpoint"))
+        if not named and re.match(r"local(\[|$)", context.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "quarry-checkpoint"))
 
 
 def materialise(df: DataFrame) -> DataFrame:
