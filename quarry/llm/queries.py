@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_sequences(spark: SparkSession, d: str) -> DataFrame:
-    return repeated_lines.repeated_sequences(repeated_lines.web_documents(read(spark, d, "source_document")))
+    return repeated_lines.shown_sequences(repeated_lines.web_documents(read(spark, d, "source_document")))
 
 
 def p1_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -152,6 +152,20 @@ def oracle_sql() -> dict[str, str]:
           s AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, docs
                 HAVING count(DISTINCT document_id) >= 5 AND count(DISTINCT document_id) * 5 >= docs)
           SELECT DISTINCT document_id, line_no FROM k JOIN s USING (site, key)""",
+        "p1_sequences": r"""
+          WITH RECURSIVE d AS (SELECT DISTINCT document_id, split_part(source_path, '/', 2) AS site, cleaned_text FROM source_document
+                     WHERE metadata.source_url IS NOT NULL AND cleaned_text <> ''),
+          l AS (SELECT site, document_id, unnest(range(1, len(string_split(cleaned_text, chr(10))) + 1)) AS line_no,
+                       unnest(string_split(cleaned_text, chr(10))) AS line FROM d),
+          k AS (SELECT site, document_id, line_no, regexp_replace(lower(line), '[^\p{L}]+', '', 'g') AS key FROM l),
+          n AS (SELECT site, greatest(5, ceil(count(DISTINCT document_id) / 5)) AS needed FROM d GROUP BY site),
+          s AS (SELECT site, key FROM k JOIN n USING (site) WHERE key <> '' GROUP BY site, key, needed HAVING count(DISTINCT document_id) >= needed),
+          i AS (SELECT k.* FROM k JOIN s USING (site, key)),
+          r AS (SELECT site, document_id, line_no, [key] AS q FROM i
+                UNION SELECT r.site, r.document_id, i.line_no, list_append(q, i.key) FROM r JOIN i ON i.site = r.site AND i.document_id = r.document_id AND i.line_no > r.line_no),
+          f AS (SELECT site, q, count(DISTINCT document_id) AS support FROM r JOIN n USING (site) GROUP BY site, q, needed HAVING count(DISTINCT document_id) >= needed),
+          x AS (SELECT DISTINCT site, support, list_concat(q[:p - 1], q[p + 1:]) AS q FROM (SELECT *, unnest(range(1, len(q) + 1)) AS p FROM f))
+          SELECT site, array_to_string(q, chr(10)) AS sequence, support FROM f ANTI JOIN x USING (site, support, q)""",
         "p3_found": "SELECT DISTINCT chunk_id FROM chunk WHERE length(text) > 1500",
         "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p4_gaps": gaps,

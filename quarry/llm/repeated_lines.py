@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +16,15 @@ def site_of(path: str = "source_path"):
     return F.split(F.col(path), "/").getItem(1)
 
 
-def lines_of(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
-    """(site, document_id, line_no, key): every line with letters; key is a 64-bit digest of its letters, case aside."""
+def _lettered(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
     lines = df.select("site", "document_id", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     letters = F.regexp_replace(F.lower("line"), "[^\\p{L}]+", "")
-    return lines.select("site", "document_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), letters.alias("letters")).where("letters <> ''").select("site", "document_id", "line_no", F.xxhash64("letters").alias("key"))
+    return lines.select("site", "document_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), letters.alias("letters")).where("letters <> ''")
+
+
+def lines_of(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
+    """(site, document_id, line_no, key): every line with letters; key is a 64-bit digest of its letters, case aside."""
+    return _lettered(df, text).select("site", "document_id", "line_no", F.xxhash64("letters").alias("key"))
 
 
 def thresholds(df: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -36,49 +43,76 @@ def frequent_lines(lines: DataFrame, needed: DataFrame) -> DataFrame:
     return support.join(needed, "site").where("support >= needed").select("site", "key", "support")
 
 
-def frequent_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2, max_length: int = 4) -> DataFrame:
-    """(site, sequence, support): frequent sequences of different lines, each at its first place in a document, up to max_length;
-    repeated_sequences gives all.
+def _facts(own: list[int], sequence: list[int]) -> set[tuple[int, int, bool]]:
+    """(place, key, early) of keys that stand in a document's gap before a place of a sequence it holds.
 
-    Each level keeps a projected database: of every document that holds a pattern, the pattern's earliest end. A level's rows are
-    extended by the document's later frequent lines; the lines of a longer pattern are all frequent themselves, so a document's
-    projection holds only its few frequent lines. Rows of one document_id count once; empty input gives no rows.
+    The widest gap runs from the first end of what comes before to the last start of what follows; early ones stand before the last
+    start within the first match. A key in the gap of every document makes a longer sequence of the same support.
     """
-    lines, needed = lines_of(df), thresholds(df, min_docs, min_share)
-    items = materialise(lines.join(frequent_lines(lines, needed).select("site", "key"), ["site", "key"]).groupBy("site", "document_id", "key").agg(F.min("line_no").alias("line_no")))
-    level = items.select("site", "document_id", F.array("key").alias("sequence"), F.col("line_no").alias("end"))
-    found = level.groupBy("site", "sequence").agg(F.count("*").alias("support"))
-    for _ in range(1, max_length):
-        step = items.select("document_id", "key", "line_no")
-        longer = level.join(step, "document_id").where("line_no > end and not array_contains(sequence, key)")
-        longer = longer.select("site", "document_id", F.concat("sequence", F.array("key")).alias("sequence"), F.col("line_no").alias("end"))
-        counts = longer.groupBy("site", "sequence").agg(F.count("*").alias("support")).join(needed, "site").where("support >= needed").select("site", "sequence", "support")
-        level = materialise(longer.join(counts.select("site", "sequence"), ["site", "sequence"]))
-        found = found.unionByName(counts)
-    return found
-
-
-def repeated_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
-    """(site, sequence, support): all frequent sequences of line keys, of any length, in order and with any lines between.
-
-    PrefixSpan as a whole: a line may stand in a sequence more than once, and every place of a frequent line counts. Each level
-    keeps of every document that holds a pattern the pattern's earliest end, extends it by each later line's first place after that
-    end, and the levels go on until one is empty. The subsequences of a frequent sequence are frequent too, so a block of n lines
-    gives 2^n - 1 rows. Rows of one document_id count once; empty input gives no rows.
+    first, at = [], 0
+    for key in sequence:
+        at = own.index(key, at) + 1
+        first.append(at - 1)
+    late, soon, hi, lo = [0] * len(first), [0] * len(first), len(own), first[-1] + 1
+    for i in reversed(range(len(first))):
+        hi = max(k for k in range(hi) if own[k] == sequence[i])
+        lo = max(k for k in range(lo) if own[k] == sequence[i])
+        late[i], soon[i] = hi, lo
+    out: dict[tuple[int, int], bool] = {}
+    for i in range(len(first)):
+        for k in range(first[i - 1] + 1 if i else 0, late[i]):
+            out[i, own[k]] = out.get((i, own[k]), False) or k < soon[i]
+    return {(i, key, early) for (i, key), early in out.items()}
+
+
+def closed_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
+    """(site, sequence, support): the closed frequent sequences of line keys, of any length, in order and with any lines between.
+
+    PrefixSpan: each level extends every frequent sequence by the lines that follow its first match in a document, all places and
+    repeats included, until no sequence is frequent. A sequence is closed if no longer one has its support; every frequent sequence
+    is part of a closed one of the same support, so none is lost, and a block of n lines is one row instead of 2^n - 1. Prefixes that
+    no closed sequence can begin with (a line stands before a place of theirs in every document) are dropped, which keeps the levels
+    small. A document's row holds its frequent lines only. Rows of one document_id count once; empty input gives no rows.
     """
     lines, needed = lines_of(df), materialise(thresholds(df, min_docs, min_share))
-    items = materialise(lines.join(frequent_lines(lines, needed).select("site", "key"), ["site", "key"]).select("site", "document_id", "key", "line_no").distinct())
-    level = items.groupBy("site", "document_id", F.array("key").alias("sequence")).agg(F.min("line_no").alias("end"))
-    found = level.groupBy("site", "sequence").agg(F.count("*").alias("support"))
+    items = lines.join(frequent_lines(lines, needed).select("site", "key"), ["site", "key"])
+    own = items.groupBy("site", "document_id").agg(F.sort_array(F.collect_set(F.struct("line_no", "key"))).alias("s"))
+    level = materialise(own.select("site", "document_id", F.col("s.key").alias("own"), F.array().cast("array<bigint>").alias("sequence"), F.lit(0).alias("end")))
+    before, found = None, None
     while True:
-        later = level.join(items, ["site", "document_id"]).where("line_no > end")
-        longer = materialise(later.groupBy("site", "document_id", F.concat("sequence", F.array("key")).alias("sequence")).agg(F.min("line_no").alias("end")))
-        counts = longer.groupBy("site", "sequence").agg(F.count("*").alias("support")).join(needed, "site").where("support >= needed").select("site", "sequence", "support")
-        counts = materialise(counts)
-        if counts.limit(1).count() == 0:
-            return found
-        level = longer.join(counts.select("site", "sequence"), ["site", "sequence"])
-        found = found.unionByName(counts)
+        # of each key after the first match its first place there
+        rest = F.slice("own", F.col("end") + 1, F.size("own"))
+        grown = level.select("site", "document_id", "own", "sequence", "end", F.explode(F.array_distinct(rest)).alias("key"), rest.alias("rest"))
+        grown = grown.select("site", "document_id", "own", F.concat("sequence", F.array("key")).alias("sequence"), (F.col("end") + F.array_position("rest", F.col("key"))).cast("int").alias("end"))
+        counts = materialise(grown.groupBy("site", "sequence").agg(F.count("*").alias("support")).join(needed, "site").where("support >= needed").select("site", "sequence", "support"))
+        if before is not None:  # a sequence isn't closed if a later line follows it in all of its documents
+            longest = counts.groupBy("site", F.slice("sequence", 1, F.size("sequence") - 1).alias("sequence")).agg(F.max("support").alias("after"))
+            done = before.join(longest, ["site", "sequence"], "left").where("not inside and coalesce(after, 0) < support").select("site", "sequence", "support")
+            done = materialise(done)
+            found = done if found is None else found.unionByName(done)
+        if counts.isEmpty():
+            return found if found is not None else counts
+        kept = materialise(grown.join(counts, ["site", "sequence"]))
+
+        def gaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(s, q, *x, n) for s, q, o, n in zip(b.site, b.sequence, b.own, b.support) for x in _facts(list(o), list(q))]
+                yield pd.DataFrame(rows, columns=["site", "sequence", "place", "key", "early", "support"])
+
+        facts = kept.select("site", "sequence", "own", "support").mapInPandas(gaps, "site string, sequence array<bigint>, place int, key bigint, early boolean, support bigint")
+        facts = facts.groupBy("site", "sequence", "support", "place", "key").agg(F.count("*").alias("n"), F.count_if("early").alias("e")).where("n = support")
+        marks = facts.groupBy("site", "sequence").agg(F.lit(True).alias("inside"), F.bool_or(F.col("e") == F.col("support")).alias("dead"))
+        before = materialise(counts.join(marks, ["site", "sequence"], "left").select("site", "sequence", "support", F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("dead", F.lit(False)).alias("dead")))
+        level = kept.join(before.where("not dead").select("site", "sequence"), ["site", "sequence"], "left_semi").drop("support")
+
+
+def shown_sequences(df: DataFrame, **options) -> DataFrame:
+    """(site, sequence, support) of closed_sequences, a sequence as its lines' letters, one line each."""
+    found = closed_sequences(df, **options).withColumn("n", F.xxhash64("site", "sequence"))
+    letters = _lettered(df).select("letters").distinct().select(F.xxhash64("letters").alias("key"), "letters")
+    parts = found.select("n", F.posexplode("sequence").alias("place", "key")).join(letters, "key")
+    texts = parts.groupBy("n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "letters"))), lambda x: x.letters), "\n").alias("text"))
+    return found.join(texts, "n").select("site", F.col("text").alias("sequence"), "support")
 
 
 def web_documents(df: DataFrame) -> DataFrame:
@@ -87,14 +121,13 @@ def web_documents(df: DataFrame) -> DataFrame:
 
 
 def repeated_lines(df: DataFrame, min_docs: int = 5, min_share: float = 0.2) -> DataFrame:
-    """(document_id, line_no): occurrences of lines of frequent sequences.
+    """(document_id, line_no): occurrences of the lines of closed frequent sequences, single lines among them.
 
-    Every line of a frequent sequence is a frequent sequence of one line (support falls as sequences grow), so level one covers
-    all occurrences. Null or empty texts, null sites and lines without letters have none.
+    Every line of a frequent sequence is frequent itself, so all of its places go. Null or empty texts, null sites and lines without
+    letters have none.
     """
-    lines = lines_of(df)
-    often = frequent_lines(lines, thresholds(df, min_docs, min_share))
-    return lines.join(often.select("site", "key"), ["site", "key"], "left_semi").select("document_id", "line_no").distinct()
+    often = closed_sequences(df, min_docs, min_share).select("site", F.explode("sequence").alias("key")).distinct()
+    return lines_of(df).join(often, ["site", "key"], "left_semi").select("document_id", "line_no").distinct()
 
 
 def without_lines(df: DataFrame, found: DataFrame) -> DataFrame:

@@ -32,44 +32,45 @@ def test_repeated_lines(spark, rows):
     assert repeated_lines.repeated_lines(web.limit(0)).count() == 0
 
 
-def test_sequences_equal_brute_force(spark):
-    rng = random.Random(1)
-    texts = [(f"d{i}", "web/s.example/x", None, "\n".join(rng.choices(["alpha", "beta", "gamma", "delta", f"u{'abcdefghijklmnop'[i]}"], k=6))) for i in range(16)]
-    web = repeated_lines.web_documents(docs(spark, texts))
-    got = {tuple(r.sequence): r.support for r in repeated_lines.frequent_sequences(web, 5, 0.2, 3).collect()}
-    names = {r.key: r.line for r in spark.createDataFrame([(w,) for w in ["alpha", "beta", "gamma", "delta"]], "line string").select("line", F.xxhash64("line").alias("key")).collect()}
-    want = {}
-    for a in names.values():
-        for seq in [(a,)] + [(a, b) for b in names.values() if b != a] + [(a, b, c) for b in names.values() for c in names.values() if len({a, b, c}) == 3]:
-            n = 0
-            for _, _, _, t in texts:
-                first = {}
-                for k, w in enumerate(t.split("\n")):
-                    first.setdefault(w, k)
-                # an item is at its first place; a pattern needs increasing places
-                at = [first.get(w, -1) for w in seq]
-                n += min(at) >= 0 and at == sorted(at)
-            if n >= 5:
-                want[seq] = n
-    assert {tuple(names[k] for k in s): n for s, n in got.items()} == want
-
-
-def test_long_and_repeating_sequences(spark):
+def subsequences(texts, least):
+    """The closed ones of all sequences of lines that stand in at least so many texts, with their support, by enumeration."""
     import itertools
     from collections import Counter
 
-    texts = ["a\nb\nc\nd\ne\nf", "x\na\nb\nc\ny\nd\ne\nf", "b\na\nb", "b\nb\na\na\nb", "a\nb\nc\nd\ne\nf\na", "c\nb\na"]
     support = Counter()
     for t in texts:
         lines = t.split("\n")
         support.update({s for n in range(1, len(lines) + 1) for s in itertools.combinations(lines, n)})
-    want = {s: n for s, n in support.items() if n >= 3}
+    often = {s: n for s, n in support.items() if n >= least}
+    shorter = {(s[:i] + s[i + 1 :], n) for s, n in often.items() for i in range(len(s))}
+    return often, {s: n for s, n in often.items() if (s, n) not in shorter}
+
+
+SEQUENCES = [
+    ["a\nb\nc\nd\ne\nf", "x\na\nb\nc\ny\nd\ne\nf", "b\na\nb", "b\nb\na\na\nb", "a\nb\nc\nd\ne\nf\na", "c\nb\na"],
+    ["b\na\nb"] * 6,
+    ["a\na\na\na\na\na"] * 4,
+    ["\n".join(random.Random(i).choices("abcd", k=7)) for i in range(14)],
+]
+
+
+@pytest.mark.parametrize("texts", SEQUENCES)
+def test_closed_sequences_equal_brute_force(spark, texts):
+    often, want = subsequences(texts, 3)
     web = repeated_lines.web_documents(docs(spark, [(f"d{i}", "web/s.example/x", None, t) for i, t in enumerate(texts)]))
-    names = {r.key: r.line for r in spark.createDataFrame([(w,) for w in "abcdefxy"], "line string").select("line", F.xxhash64("line").alias("key")).collect()}
-    got = repeated_lines.repeated_sequences(web, 3, 0.2).collect()
-    assert len(got) == len(want) and {tuple(names[k] for k in r.sequence): r.support for r in got} == want
-    assert ("a", "b", "c", "d", "e", "f") in want and support[("b", "a")] == 4
-    assert repeated_lines.repeated_sequences(web.limit(0)).count() == 0
+    rows = repeated_lines.shown_sequences(web, min_docs=3, min_share=0.01).collect()
+    got = {tuple(r.sequence.split("\n")): r.support for r in rows}
+    assert len(rows) == len(got) and got == want
+    inside = lambda s, t: (lambda it: all(x in it for x in s))(iter(t))
+    assert all(n == max(m for t, m in got.items() if inside(s, t)) for s, n in often.items())
+    assert repeated_lines.closed_sequences(web.limit(0)).count() == 0
+
+
+def test_long_blocks_are_one_sequence(spark):
+    block = "\n".join(["abcdefghijklmnopqrstuvwxyz"[i // 26] + "abcdefghijklmnopqrstuvwxyz"[i % 26] for i in range(7)])
+    web = repeated_lines.web_documents(docs(spark, [(f"d{i}", "web/s.example/x", None, f"own {chr(97 + i)}\n{block}") for i in range(6)]))
+    got = repeated_lines.shown_sequences(web).collect()
+    assert [(r.sequence, r.support) for r in got] == [(block, 6)]
 
 
 # problem 2
