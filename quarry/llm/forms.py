@@ -163,7 +163,9 @@ def consistent_form(df: DataFrame, key: str, text: str, out: str = "form") -> Da
     ascii_only = F.octet_length("_t") == F.length("_t")
     changes = F.when(ascii_only, F.col("_t").rlike(r"[\t\r\x0B\f]")).otherwise(F.col("_t").rlike(java_unusual()) & F.col("_t").rlike(java_class()))
     plain = base.where(~F.coalesce(changes, F.lit(False))).select("_k", even_width(F.col("_t")).alias(out))
-    letters = base.where(changes).dropDuplicates(["_k"]).select("_k", F.posexplode(F.split(even_width(F.col("_t")), "")).alias("_p", "_c"))
+    # few bytes but much work: a fixed number of parts, which adaptive execution doesn't join up again
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    letters = base.where(changes).repartition(parts, "_k").dropDuplicates(["_k"]).select("_k", F.posexplode(F.split(even_width(F.col("_t")), "")).alias("_p", "_c"))
     decompose, compose = _frames(spark)
     read_as = letters.join(F.broadcast(decompose), letters._c == decompose.ch, "left")
     read_as = read_as.select("_k", "_p", F.posexplode(F.when(F.col("ch").isNull(), F.array("_c")).otherwise(F.col("parts"))).alias("_q", "_c"))
@@ -194,21 +196,44 @@ def _classes(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "mark string, ccc int")
 
 
-def same_reading_pairs(df: DataFrame, key: str, text: str, all_up_to: int = 1000) -> DataFrame:
-    """Pairs (id_a, id_b), smaller first, whose texts read the same but differ in code points; empty and null texts make none, nor do rows without an id.
-
-    Forms are compared by 128-bit digests. Only copies of equal code points are represented: of a text with more than all_up_to
-    copies, an id is paired with the smallest id of every other text of its class, and the smallest id with every id, so no link
-    between different texts is lost and a hot text's copies aren't multiplied; texts of up to all_up_to copies give all their pairs.
-    """
+def _classes_of(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, raw, form) of texts that share their form with another text, and (form, raw, head, copies) of those texts."""
     given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("t"))
     formed = consistent_form(given, "id", "t", "form").select("id", F.md5("form").alias("form"))
     raw = given.select("id", F.md5("t").alias("raw"))
     both = materialise(raw.join(formed, "id").distinct())
-    classes = both.groupBy("form").agg(F.count_distinct("raw").alias("texts")).where("texts > 1")
-    rows = materialise(both.join(classes, "form"))
-    heads = rows.groupBy("form", "raw").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
-    rows = rows.join(heads, ["form", "raw"]).withColumn("first", F.col("head") == F.col("id"))
-    a, b = rows.alias("a"), rows.alias("b")
-    keep = (F.greatest("a.copies", "b.copies") <= all_up_to) | F.col("a.first") | F.col("b.first")
-    return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.raw") != F.col("b.raw")) & keep).select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    texts = both.groupBy("form", "raw").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
+    several = texts.groupBy("form").agg(F.count("*").alias("texts")).where("texts > 1")
+    return both, materialise(texts.join(several, "form"))
+
+
+def same_reading_pairs(df: DataFrame, key: str, text: str, all_up_to: int = 1000) -> DataFrame:
+    """Pairs (id_a, id_b), smaller first, whose texts read the same but differ in code points; empty and null texts make none, nor do rows without an id.
+
+    Forms are compared by 128-bit digests. Different texts of one form are paired first, each text once, and only then do a pair's
+    copies meet, so the work is that of writing the pairs. Only copies of equal code points are represented: of a text with more than
+    all_up_to copies, an id is paired with the smallest id of every other text of its class, and the smallest id with every id, so no
+    link between different texts is lost and a hot text's copies aren't multiplied; texts of up to all_up_to copies give all their pairs.
+    same_reading_classes gives one row an id whatever the number of copies.
+    """
+    both, texts = _classes_of(df, key, text)
+    a, b = texts.alias("a"), texts.alias("b")
+    met = a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") < F.col("b.raw"))).select(
+        F.col("a.raw").alias("ra"), F.col("b.raw").alias("rb"), F.col("a.head").alias("ha"), F.col("b.head").alias("hb"), (F.greatest("a.copies", "b.copies") > all_up_to).alias("hot")
+    )
+    met = materialise(met)
+    x, y = both.select(F.col("raw").alias("ra"), F.col("id").alias("p")), both.select(F.col("raw").alias("rb"), F.col("id").alias("q"))
+    few = met.where("not hot").join(x, "ra").join(y, "rb").select("p", "q")
+    hot = met.where("hot")
+    led = hot.join(y, "rb").select(F.col("ha").alias("p"), "q").unionByName(hot.join(x, "ra").where("p <> ha").select("p", F.col("hb").alias("q")))
+    out = few.unionByName(led)
+    return out.select(F.least("p", "q").alias("id_a"), F.greatest("p", "q").alias("id_b"))
+
+
+def same_reading_classes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, class_id, links) of every id whose text reads like another text: the smallest id of its class, and how many ids of the class
+    hold other code points. Linear in the rows; empty and null texts and rows without an id are in no class."""
+    both, texts = _classes_of(df, key, text)
+    classes = texts.groupBy("form").agg(F.min("head").alias("class_id"), F.sum("copies").alias("n"))
+    counts = texts.join(classes, "form").select("form", "raw", "class_id", (F.col("n") - F.col("copies")).alias("links"))
+    return both.join(counts, ["form", "raw"]).select("id", "class_id", "links")

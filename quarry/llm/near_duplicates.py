@@ -3,6 +3,9 @@
 A text's fingerprint has a bit for every hashed run of three words. The Hamming distance of two fingerprints is the size of the
 symmetric difference of the run sets, so every reference fingerprint (pivot) p gives a bound without loss:
 |d(x, p) - d(y, p)| <= d(x, y) <= (1 - t) / (1 + t) * (|x| + |y|) for all pairs with a Jaccard similarity of t or more.
+Bit positions are dealt into PARTS disjoint parts, and every union of parts is a pivot. d(x, p) - d(y, p) is the difference of the
+counts of x and y over the parts outside p less that over the parts inside, so the largest coordinate difference over all 2^PARTS
+pivots is the sum of the absolute differences of the counts: a table of PARTS counts holds the distances to all of them.
 Min-hash bands propose pairs, the pivot tables discard by the maximum coordinate difference, and survivors are verified exactly.
 """
 
@@ -16,12 +19,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.forms import fold
 from quarry.session import materialise, stored
 
 WORD = re.compile(r"[一-鿿]|[^\W_一-鿿]+")
-PIVOTS = 12
+PARTS = 32
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -79,19 +83,15 @@ def signatures(x: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.n
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def pivot_distances(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """[text, pivot]: Hamming distances of fingerprints to the pivots, less each pivot's own size, the same for all texts.
+def pivot_counts(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """[text, part]: how many of a text's runs fall into each part of the bit positions, from which follow the distances to all pivots.
 
-    A fingerprint has a bit for every run hash. Pivot 0 is empty, the others hold half of the bits: a bit is in pivot j where bit j of
-    its position's hash is set. Distances are clipped to 16 bits, which can't push two further apart.
+    Counts are clipped to 16 bits, which can't push two further apart.
     """
     size = np.diff(np.append(starts, len(x)))
-    hashed = _mixed(x * _M1)
-    out = np.zeros((len(starts), PIVOTS), np.int64)
-    out[:, 0] = size
-    for j in range(1, PIVOTS):
-        out[:, j] = size - 2 * np.add.reduceat((hashed >> np.uint64(j)) & np.uint64(1), starts).astype(np.int64)
-    return np.clip(out, -32768, 32767).astype(np.int16)
+    part = (_mixed(x * _M1) >> np.uint64(40)).astype(np.int64) % PARTS
+    out = np.bincount(np.repeat(np.arange(len(starts)), size) * PARTS + part, minlength=len(starts) * PARTS)
+    return np.minimum(out, 32767).astype(np.int16).reshape(len(starts), PARTS)
 
 
 def _nodes(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -110,13 +110,13 @@ def describe(df: DataFrame, key: str, text: str, k: int, bands: int, rows: int)
             has = np.flatnonzero(np.diff(bounds))
             starts = bounds[has]
             if len(has):
-                yield pd.DataFrame({"id": b.id.to_numpy()[has], "raw": b.raw.to_numpy()[has], "node": _nodes(x, starts), "size": np.diff(bounds)[has].astype(np.int32), "pivots": list(pivot_distances(x, starts)), "bands": list(signatures(x, starts, bands, rows))})
+                yield pd.DataFrame({"id": b.id.to_numpy()[has], "raw": b.raw.to_numpy()[has], "node": _nodes(x, starts), "size": np.diff(bounds)[has].astype(np.int32), "pivots": list(pivot_counts(x, starts)), "bands": list(signatures(x, starts, bands, rows))})
 
     given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("raw"))
     return given.mapInPandas(work, "id string, raw bigint, node bigint, size int, pivots array<smallint>, bands array<int>")
 
 
-def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int, small: bool) -> DataFrame:
+def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int) -> DataFrame:
     """(node, runs) of the wanted nodes: one text each, led by the smallest id."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,45 +125,65 @@ def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int, sma
             yield pd.DataFrame({"node": b.node, "runs": np.split(x.view(np.int64), bounds[1:-1])})
 
     given = df.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("id"), F.col(text).alias("text"))
-    texts = given.join(F.broadcast(wanted) if small else wanted, "id").select("node", "text")
+    texts = given.join(wanted, "id").select("node", "text")
     return texts.mapInPandas(work, "node bigint, runs array<bigint>").dropDuplicates(["node"])
 
 
-def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, bands: int = 36, rows: int = 6, broadcast_up_to: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """(id, node, raw) of every text of k words or more, and (a, b, similarity) between the nodes of different texts.
+def proposed(keyed: DataFrame, block: int = 1000) -> DataFrame:
+    """(a, b): distinct pairs of nodes, smaller first, that share a bucket; keyed: (node, bucket).
 
-    Texts with equal run sets are one node; only nodes are compared, so a text's copies cost nothing. With 36 bands of 6 rows a pair
-    at the threshold of 0.7 is proposed with a probability of 0.989, one at 0.75 with 0.999 and one at 0.8 with 0.99998, while texts
-    that only share stock phrases hardly ever meet. The pivot bound loses nothing, and the last step compares whole run sets. The ids of proposed texts are broadcast up to broadcast_up_to, and joined beyond that.
+    A bucket of more than block nodes is cut into blocks by a hash of the node; one side goes to each of its bucket's blocks, so no
+    task compares more than a bucket with a block. Counting needs no shuffle of its own: it uses the one the join needs.
     """
+    sized = keyed.withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
+    a, b = sized.alias("a"), sized.alias("b")
+    cold = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.size") <= block)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    hot = sized.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block))
+    one = hot.select("bucket", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), "blocks").alias("part"))
+    each = hot.select("bucket", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("part"))
+    return cold.unionByName(each.join(one, ["bucket", "part"]).where("a < b").select("a", "b")).distinct()
+
+
+def candidates(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, bands: int = 36, rows: int = 6, broadcast_mb: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What is known of all texts, pairs the bands propose, their nodes' tables, and the pairs that sizes and pivots leave."""
     told = stored(describe(df, key, text, k, bands, rows))
     nodes = told.select("node", "bands").dropDuplicates(["node"])
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", (F.col("band") * F.lit(1 << 32) + F.col("value")).alias("bucket"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node"))).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    met = materialise(met.distinct())
+    met = materialise(proposed(keyed))
     ends = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    tables = told.join(_hinted(ends, broadcast_up_to), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("size", "pivots")).alias("t"))
+    tables = told.join(_hinted(ends, broadcast_mb), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id"), F.min(F.struct("size", "pivots")).alias("t"))
     tables = materialise(tables.select("node", "id", "t.size", "t.pivots"))
     x, y = tables.alias("x"), tables.alias("y")
     most = F.floor((F.col("x.size") + F.col("y.size")) * ((1 - threshold) / (1 + threshold)) + 1e-6)
-    apart = F.array_max(F.zip_with("x.pivots", "y.pivots", lambda p, q: F.abs(p.cast("int") - q.cast("int"))))
+    apart = F.aggregate(F.zip_with("x.pivots", "y.pivots", lambda p, q: F.abs(p.cast("int") - q.cast("int"))), F.lit(0), lambda n, d: n + d)
     sizes = (F.col("x.size") >= F.col("y.size") * threshold - 1e-6) & (F.col("y.size") >= F.col("x.size") * threshold - 1e-6)
     near = met.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).where(sizes & (apart <= most)).select("a", "b")
-    near = materialise(near)
+    return told, met, tables, materialise(near)
+
+
+def classes_and_pairs(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, broadcast_mb: int = 16, **options) -> tuple[DataFrame, DataFrame]:
+    """(id, node, raw) of every text of k words or more, and (a, b, similarity) between the nodes of different texts.
+
+    Texts with equal run sets are one node; only nodes are compared, so a text's copies cost nothing. With 36 bands of 6 rows a pair
+    at the threshold of 0.7 is proposed with a probability of 0.989, one at 0.75 with 0.999 and one at 0.8 with 0.99998, while texts
+    that only share stock phrases hardly ever meet. The pivot bound loses nothing, and the last step compares whole run sets. The ids
+    of proposed texts are broadcast up to broadcast_mb, and joined beyond that.
+    """
+    told, _, tables, near = candidates(df, key, text, k, threshold, broadcast_mb=broadcast_mb, **options)
     left = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialise(tables.join(left, "node", "left_semi").select("id", "node"))
-    sets = _run_sets(df, key, text, wanted, k, wanted.count() <= broadcast_up_to)
+    wanted = _hinted(tables.join(left, "node", "left_semi").select("id", "node"), broadcast_mb)
+    sets = _run_sets(df, key, text, wanted, k)
     both = near.join(sets.select(F.col("node").alias("a"), F.col("runs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("runs").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     pairs = both.select("a", "b", (common / (F.size("x") + F.size("y") - common)).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     return told.groupBy("id", "node").agg(F.min("raw").alias("raw")), pairs
 
 
-def _hinted(df: DataFrame, up_to: int) -> DataFrame:
-    """A frame of single numbers, computed, and broadcast if it has at most up_to rows."""
+def _hinted(df: DataFrame, up_to_mb: int) -> DataFrame:
+    """A frame of numbers and ids, computed, and broadcast if its rows take at most up_to_mb (32 bytes each and the ids' own)."""
     made = materialise(df)
-    return F.broadcast(made) if made.count() <= up_to else made
+    own = F.sum(F.lit(32) + (F.octet_length("id") if "id" in df.columns else F.lit(0)))
+    return F.broadcast(made) if (made.agg(own).first()[0] or 0) <= up_to_mb << 20 else made
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text", all_up_to: int = 1000, **options) -> DataFrame:
@@ -192,7 +212,7 @@ def near_duplicate_pairs(df: DataFrame, key: str = "chunk_id", text: str = "text
     return out.select(F.least("p", "q").alias("chunk_a"), F.greatest("p", "q").alias("chunk_b"))
 
 
-def near_duplicate_groups(df: DataFrame, key: str = "chunk_id", text: str = "text", most_rounds: int = 40, **options) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, key: str = "chunk_id", text: str = "text", **options) -> DataFrame:
     """(id, class_id, group_id, links): every text with the smallest id of its class of equal run sets and of its group, and its
     number of links to other texts.
 
@@ -203,7 +223,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "chunk_id", text: str = "tex
     pairs = pairs.select("a", "b")
     edges = materialise(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = materialise(edges.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(most_rounds):
+    while True:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("label").alias("near"))
         step = labels.join(near, labels.id == near.a).select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         up = step.select(F.col("id").alias("label"), F.col("label").alias("top"))

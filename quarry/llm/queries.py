@@ -78,6 +78,11 @@ def p5_forms(spark: SparkSession, d: str) -> DataFrame:
     return asked.unionByName(forms.consistent_form(read(spark, d, "chunk").dropDuplicates(["chunk_id"]), "chunk_id", "text").withColumnRenamed("chunk_id", "record_id"))
 
 
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    queries = forms.same_reading_classes(read(spark, d, "query_request"), "request_id", "query")
+    return queries.unionByName(forms.same_reading_classes(read(spark, d, "chunk"), "chunk_id", "text"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_pairs(read(spark, d, "chunk"))
 
@@ -86,6 +91,12 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(read(spark, d, "chunk"))
 
 
+def p6_discarded(spark: SparkSession, d: str) -> DataFrame:
+    """How many pairs the bands propose, and how many sizes and pivots leave to be compared."""
+    _, met, _, near = near_duplicates.candidates(read(spark, d, "chunk"), "chunk_id", "text")
+    return met.agg(F.count("*").alias("proposed")).crossJoin(near.agg(F.count("*").alias("left")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     docs = read(spark, d, "source_document")
     return main_content.boilerplate(docs, main_content.train(docs))

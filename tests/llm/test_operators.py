@@ -207,7 +207,8 @@ def test_same_reading_pairs(spark, rows):
     assert rows(forms.same_reading_pairs(df, "id", "t")) == [("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")]
     linked = rows(forms.same_reading_pairs(df, "id", "t", all_up_to=1))
     assert set(linked) <= {("a", "b"), ("a", "d"), ("b", "c"), ("b", "d"), ("c", "d")} and {("a", "b"), ("a", "d"), ("b", "d"), ("b", "c"), ("c", "d")} == set(linked)
-    assert forms.same_reading_pairs(df.limit(0), "id", "t").count() == 0
+    assert rows(forms.same_reading_classes(df, "id", "t")) == [("a", "a", 2), ("a", "b", 3), ("a", "c", 2), ("a", "d", 3)]
+    assert forms.same_reading_pairs(df.limit(0), "id", "t").count() == 0 and forms.same_reading_classes(df.limit(0), "id", "t").count() == 0
 
 
 def test_same_reading_pairs_of_many_texts_are_whole(spark, rows):
@@ -261,8 +262,23 @@ def test_pivot_bound_loses_nothing():
     for _ in range(50):
         a = np.unique(rng.integers(0, 1 << 40, 200).astype(np.uint64))
         b = np.unique(np.concatenate([a[: rng.integers(1, 200)], rng.integers(0, 1 << 40, 50).astype(np.uint64)]))
-        x = near_duplicates.pivot_distances(np.concatenate([a, b]), np.array([0, len(a)])).astype(int)
-        assert np.abs(x[0] - x[1]).max() <= len(np.setxor1d(a, b))
+        x = near_duplicates.pivot_counts(np.concatenate([a, b]), np.array([0, len(a)])).astype(int)
+        assert x.sum(1).tolist() == [len(a), len(b)] and np.abs(x[0] - x[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_pivot_counts_give_the_greatest_coordinate_difference(monkeypatch):
+    monkeypatch.setattr(near_duplicates, "PARTS", 6)
+    rng = np.random.default_rng(4)
+    a, b = (np.unique(rng.integers(0, 1 << 40, n).astype(np.uint64)) for n in (90, 70))
+    x, y = near_duplicates.pivot_counts(np.concatenate([a, b]), np.array([0, len(a)])).astype(int)
+    distance = lambda c, p: sum(c) - 2 * sum(n for i, n in enumerate(c) if p >> i & 1)  # noqa: E731  less the pivot's own size
+    assert max(abs(distance(x, p) - distance(y, p)) for p in range(64)) == np.abs(x - y).sum()
+
+
+def test_hot_buckets_are_cut_into_blocks(spark, rows):
+    keyed = spark.createDataFrame([(n, n % 2) for n in range(60)] + [(0, 7), (59, 7), (1, 8)], "node bigint, bucket bigint")
+    want = sorted({(a, b) for a in range(60) for b in range(60) if a < b and (a - b) % 2 == 0} | {(0, 59)})
+    assert rows(near_duplicates.proposed(keyed, block=7)) == want == rows(near_duplicates.proposed(keyed))
 
 
 # problem 7
