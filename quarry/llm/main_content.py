@@ -15,30 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import repeated_lines
 from quarry.llm.forms import fold
+from quarry.session import stored
 
 WORD = re.compile(r"[一-鿿]+|[^\W\d_一-鿿]+")
 DIGITS = re.compile(r"\d+")
 MARKER = re.compile(r"\s*(?:([-*•›>»—–|\[#])|\(([a-z0-9]{1,3})\)|\d{1,3}[A-Z]?\.\d+)")
 TAG = re.compile(r"\s*</?([a-zA-Z][a-zA-Z0-9]*)")
 
-# What bylines and share prompts say in the six languages, to label the pages trained on.
-BYLINE = re.compile(
-    r"posted by|prepared by|\brules desk|発|發布於|撰文|整理$|verfasst von|eingestellt von|redactado por|publicado por|redigido por|rédigé par|publié par|"
-    r"pôle réglementaire|regelredaktion|equipo de normas|equipa de regras|規則組|^(?:by|von|par|por) \w+",
-    re.I,
-)
-SHARE = re.compile(
-    r"print this page|imprimir (?:la|esta|a) p|imprimer la page|seite drucken|列印此頁|tell a colleague|轉告同事|readers found|lecteurs ont trouvé|leser fanden|lectores encontraron|"
-    r"leitores acharam|位讀者|share this page|partager cette page|seite teilen|compartir esta p|partilhar esta p|分享此頁|like it\? pass it on|kolleg|collègue|colega",
-    re.I,
-)
-
-
-def site_name(path: str | None) -> str:
-    """What a site calls itself: its host without the top-level domain and hyphens."""
-    parts = (path or "").split("/")
-    host = parts[1] if len(parts) > 1 else ""
+def site_name(url: str | None) -> str:
+    """What a site calls itself: the first part of its host, without hyphens."""
+    host = re.sub(r"^[a-z]+://(?:www\.)?", "", (url or "").lower()).split("/")[0]
     return host.split(".")[0].replace("-", " ").casefold()
 
 
@@ -167,48 +155,57 @@ class Field:
         return out[::-1]
 
 
-def labels(raw: str, cleaned: str, site: str, at: list[int]) -> list[int]:
-    """Labels for training: lines that cleaning dropped, and of the rest those that name the site, sign the page or ask to share it."""
+def labels(raw: str, cleaned: str, own: set[str], at: list[int]) -> list[int]:
+    """Labels for training: lines that cleaning dropped, and of the rest those that come back all over the site (own: their letters)."""
     kept = {re.sub(r"\s+", " ", x).strip() for x in cleaned.split("\n")}
-    lines, out = raw.split("\n"), []
-    for j, i in enumerate(at):
-        line = fold(lines[i]) or ""
-        own = re.sub(r"\s+", " ", lines[i]).strip() not in kept or (len(line) < 160 and (bool(site and site in line.casefold()) or SHARE.search(line) is not None or (j < 20 and len(line) < 90 and BYLINE.search(line) is not None)))
-        out.append(int(own))
-    return out
+    lines = raw.split("\n")
+    return [int(re.sub(r"\s+", " ", lines[i]).strip() not in kept or "".join(x for x in lines[i].lower() if x.isalpha()) in own) for i in at]
+
+
+#: Lines of a stretch of a page that trains as one chain.
+STRETCH = 400
 
 
 def train(docs: DataFrame, pages: int = 700) -> Field:
-    """A field trained on at most pages web pages (a documented, bounded sample, taken by a hash of the id)."""
-    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text <> '' and cleaned_text <> ''").select("document_id", "source_path", "raw_text", "cleaned_text")
+    """A field trained on at most pages web pages (a documented, bounded sample, taken by a hash of the id); pages of more than STRETCH
+    lines train in stretches.
+
+    What comes back all over a site is counted over all documents, by the operator of repeated lines; only the sampled pages' own
+    such lines come to the driver.
+    """
+    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text <> '' and cleaned_text <> ''")
+    web = web.select("document_id", "source_path", "metadata.source_url", "raw_text", "cleaned_text")
     slots = web.select("document_id", F.xxhash64("document_id").alias("h")).groupBy(F.pmod("h", F.lit(pages)).alias("slot")).agg(F.min(F.struct("h", "document_id")).alias("m")).select(F.col("m.document_id").alias("document_id"))
-    rows = web.join(F.broadcast(slots), "document_id").dropDuplicates(["document_id"]).orderBy("document_id").collect()  # at most pages rows
+    sample = stored(web.join(F.broadcast(slots), "document_id").dropDuplicates(["document_id"]))  # at most pages rows
+    shown = repeated_lines.web_documents(docs)
+    often = repeated_lines.frequent_lines(repeated_lines.lines_of(shown), repeated_lines.thresholds(shown, 5, 0.2)).select("site", "key")
+    own = repeated_lines.lettered(sample.select(repeated_lines.site_of().alias("site"), "document_id", "cleaned_text"))
+    own = own.withColumn("key", F.xxhash64("letters")).join(often, ["site", "key"], "left_semi").groupBy("document_id").agg(F.collect_set("letters").alias("own"))
     given = []
-    for r in rows:
-        site = site_name(r.source_path)
-        at, f = features(r.raw_text, site)
-        if len(at) <= 400:
-            given.append((f, labels(r.raw_text, r.cleaned_text, site, at)))
+    for r in sample.join(own, "document_id", "left").orderBy("document_id").collect():
+        at, f = features(r.raw_text, site_name(r.source_url))
+        y = labels(r.raw_text, r.cleaned_text, set(r.own or ()), at)
+        given += [(f[i : i + STRETCH], y[i : i + STRETCH]) for i in range(0, len(at), STRETCH)]
     return Field.train(given)
 
 
 def boilerplate(docs: DataFrame, field: Field) -> DataFrame:
     """(document_id, line_no): non-blank lines of web pages that aren't the notice's own. Rows of one id count once; null, empty and
-    blank texts have no lines; pages without a path are judged without the site's name."""
+    blank texts have no lines."""
     weights = docs.sparkSession.sparkContext.broadcast(field)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = weights.value
         for b in batches:
             ids, numbers = [], []
-            for k, path, raw in zip(b.document_id, b.source_path, b.raw_text):
-                at, f = features(raw, site_name(path))
+            for k, url, raw in zip(b.document_id, b.source_url, b.raw_text):
+                at, f = features(raw, site_name(url))
                 hit = [i + 1 for i, s in zip(at, own.decode(f)) if s]
                 ids += [k] * len(hit)
                 numbers += hit
             yield pd.DataFrame({"document_id": pd.Series(ids, dtype=object), "line_no": pd.Series(numbers, dtype="int64")})
 
-    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text <> ''").select("document_id", "source_path", "raw_text")
+    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text <> ''").select("document_id", F.col("metadata.source_url").alias("source_url"), "raw_text")
     return web.mapInPandas(judge, "document_id string, line_no bigint").distinct()
 
 
@@ -220,11 +217,11 @@ def main_content(docs: DataFrame, field: Field) -> DataFrame:
         own = weights.value
         for b in batches:
             texts = []
-            for path, raw in zip(b.source_path, b.raw_text):
-                at, f = features(raw, site_name(path))
+            for url, raw in zip(b.source_url, b.raw_text):
+                at, f = features(raw, site_name(url))
                 gone, lines = {i for i, s in zip(at, own.decode(f)) if s}, raw.split("\n")
                 texts.append("\n".join(x for i, x in enumerate(lines) if i not in gone).strip("\n"))
             yield pd.DataFrame({"document_id": b.document_id, "main_text": texts})
 
-    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text is not null").select("document_id", "source_path", "raw_text").dropDuplicates(["document_id"])
+    web = docs.where("document_id is not null and metadata.source_url is not null and raw_text is not null").select("document_id", F.col("metadata.source_url").alias("source_url"), "raw_text").dropDuplicates(["document_id"])
     return web.mapInPandas(keep, "document_id string, main_text string")

@@ -16,7 +16,8 @@ def site_of(path: str = "source_path"):
     return F.split(F.col(path), "/").getItem(1)
 
 
-def _lettered(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
+def lettered(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
+    """(site, document_id, line_no, letters): every line with letters; letters are lower-cased."""
     lines = df.select("site", "document_id", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
     letters = F.regexp_replace(F.lower("line"), "[^\\p{L}]+", "")
     return lines.select("site", "document_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), letters.alias("letters")).where("letters <> ''")
@@ -24,7 +25,7 @@ def _lettered(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
 
 def lines_of(df: DataFrame, text: str = "cleaned_text") -> DataFrame:
     """(site, document_id, line_no, key): every line with letters; key is a 64-bit digest of its letters, case aside."""
-    return _lettered(df, text).select("site", "document_id", "line_no", F.xxhash64("letters").alias("key"))
+    return lettered(df, text).select("site", "document_id", "line_no", F.xxhash64("letters").alias("key"))
 
 
 def thresholds(df: DataFrame, min_docs: int, min_share: float) -> DataFrame:
@@ -109,7 +110,7 @@ def closed_sequences(df: DataFrame, min_docs: int = 5, min_share: float = 0.2) -
 def shown_sequences(df: DataFrame, **options) -> DataFrame:
     """(site, sequence, support) of closed_sequences, a sequence as its lines' letters, one line each."""
     found = closed_sequences(df, **options).withColumn("n", F.xxhash64("site", "sequence"))
-    letters = _lettered(df).select("letters").distinct().select(F.xxhash64("letters").alias("key"), "letters")
+    letters = lettered(df).select("letters").distinct().select(F.xxhash64("letters").alias("key"), "letters")
     parts = found.select("n", F.posexplode("sequence").alias("place", "key")).join(letters, "key")
     texts = parts.groupBy("n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "letters"))), lambda x: x.letters), "\n").alias("text"))
     return found.join(texts, "n").select("site", F.col("text").alias("sequence"), "support")

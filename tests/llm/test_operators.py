@@ -402,6 +402,35 @@ def test_common_subsequence_and_paraphrases(spark):
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 7)] and 0.7 <= got[0].overlap < 1
 
 
+def test_planted_paraphrases_are_found(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(25, 60)) + [str(rng.randint(10, 99))])) for i in range(60)]
+
+    def edited(text):
+        out = []
+        for w in text.split():
+            r = rng.random()
+            out += [] if r < 0.06 else [rng.choice(words)] if r < 0.12 else [w, rng.choice(words)] if r < 0.18 else [w]
+        return " ".join(out)
+
+    texts = [(i, f"{' '.join(rng.choices(words, k=40))} {edited(t)} {' '.join(rng.choices(words, k=40))}") for i, t in items] + [(1000 + i, " ".join(rng.choices(words, k=150))) for i in range(200)]
+    got = leakage.leaks(spark.createDataFrame(texts, "doc_id bigint, text string"), spark.createDataFrame([(*x, "en") for x in items], "item_id bigint, text string, lang string"), paraphrases=True).collect()
+    assert all(r.doc_id == r.item_id for r in got) and len(got) >= 0.9 * len(items)
+
+
+def test_partial_products_add_up_in_a_tree(spark, monkeypatch):
+    rng = random.Random(3)
+    items = leakage.Items([(1, " ".join(rng.choices("abcdefgh", k=30)), "en")])
+    texts = leakage.numbered_texts(spark.createDataFrame([(i, " ".join(rng.choices("abcdefgh", k=40))) for i in range(40)], "doc_id bigint, text string").repartition(7), items)
+    idf = np.ones(len(items.vocabulary))
+    monkeypatch.setattr(leakage, "FAN", 2)
+    tree = leakage.latent_space(texts.repartition(7), items, idf)
+    monkeypatch.setattr(leakage, "FAN", 32)
+    flat = leakage.latent_space(texts.repartition(7), items, idf)
+    assert np.allclose(tree @ tree.T, flat @ flat.T, atol=1e-6)
+
+
 # problem 10
 
 
