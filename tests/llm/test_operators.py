@@ -118,6 +118,8 @@ def test_languages_of_documents_and_lines(spark, rows):
     labels = spark.createDataFrame([("d_en", "en-GB"), ("d_fr", "Français"), ("d_fr", "Français"), ("d_de", "EN"), ("d_es", None), ("d_pt", "??")], "document_id string, lang string")
     assert rows(language.wrong_labels(found, labels)) == [("d_de", "de"), ("d_es", "es"), ("d_pt", "pt"), ("d_zh", "zh")]
     c = spark.createDataFrame([("c", f"{body('en')}\n{body('en')}\n\n{body('zh')}\nYarandel Holdings", "x"), ("c", f"{body('en')}\n{body('en')}\n\n{body('zh')}\nYarandel Holdings", "x"), ("n", None, "x"), ("e", "", "x"), (None, body("en"), "x")], "chunk_id string, text string, lang string")
+    noise = "".join(random.Random(2).choices("0123456789abcdef;=|", k=3000))
+    assert language.foreign_lines(spark.createDataFrame([("c", f"{body('en')}\n{noise}", "x")], c.schema), texts).count() == 0
     lines = language.foreign_lines(c, texts).collect()
     assert [(r.chunk_id, r.line_no, r.lang) for r in lines] == [("c", 4, "zh")] and 0 < lines[0].confidence <= 1
     assert language.foreign_lines(c.limit(0), texts).count() == 0
@@ -288,8 +290,9 @@ def test_field_learns_and_decodes(spark, rows):
     rng = random.Random(5)
     pages = []
     for i in range(60):
-        body = [f"The issuer {rng.choice(['shall', 'must', 'may'])} file report {rng.randint(1, 99)}." for _ in range(rng.randint(2, 5))]
-        raw = ["Home | Rules | Search", "", f"Notice about {rng.choice('abc')}", *body, "", "Print this page (3 KB)", "© 2024 Site a. All rights reserved."]
+        subject = lambda: "".join(rng.choices("aeioulmnrst", k=6))  # noqa: E731  lines of content don't come back all over a site
+        body = [f"The issuer {rng.choice(['shall', 'must', 'may'])} file the {subject()} report {rng.randint(1, 99)}." for _ in range(rng.randint(2, 5))]
+        raw = ["Home | Rules | Search", "", f"Notice about {subject()}", *body, "", "Print this page (3 KB)", "© 2024 Site a. All rights reserved."]
         pages.append((f"p{i:02d}", f"web/site-a-{i % 3}.example/2024/x", "\n".join(raw), "\n".join(raw[2:-1])))
     extra = [pages[0], ("n", "web/s.example/x", None, None), ("e", "web/s.example/x", "", ""), ("b", None, "files only", "files only"), (None, "web/s.example/x", "Home | Rules | Search", "x"), ("q", "web/s.example/x", "\n \n", "")]
     d = docs(spark, pages + extra)
