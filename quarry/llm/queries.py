@@ -55,13 +55,21 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(read(spark, d, "chunk"))
 
 
+def _sampled(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    cases, quota = read(spark, d, "benchmark_case"), read(spark, d, "default_benchmark_quota")
+    return proportions.proportional_sample(cases, quota, make_up=True), cases, quota
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    report = proportions.gaps(read(spark, d, "benchmark_case"), read(spark, d, "default_benchmark_quota"))
-    return report.where("short > 0").select(*proportions.CELL)
+    return proportions.report(*_sampled(spark, d)).where("short > 0").select(*proportions.CELL)
 
 
 def p4_sample(spark: SparkSession, d: str) -> DataFrame:
-    return proportions.proportional_sample(read(spark, d, "benchmark_case"), read(spark, d, "default_benchmark_quota"))
+    return _sampled(spark, d)[0]
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return proportions.report(*_sampled(spark, d))
 
 
 def p4_gaps(spark: SparkSession, d: str) -> DataFrame:

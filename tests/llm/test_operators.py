@@ -137,6 +137,23 @@ def test_pieces_cover_and_overlap(text, limit, overlap):
         assert start == max(0, end - overlap)
 
 
+def test_sections_nest_in_chapters():
+    text = "Chapter 1\nSection 1\n1.01 a\n1.01(2) b\n1.02 c\nSection 2\nd\nChapter 2\n# e\nx | y\nz | w\n\n- f\n- g\nh"
+    root = splitting.tree(text)
+    show = lambda n: [text[n.start : n.end].split("\n")[0], *[show(c) for c in n.children if c.kind == "part"]]
+    assert [show(c) for c in root.children] == [["Chapter 1", ["Section 1", ["1.01 a", ["1.01(2) b"]], ["1.02 c"]], ["Section 2"]], ["Chapter 2"], ["# e"]]
+    assert [(c.kind, text[c.start : c.end]) for c in root.children[2].children] == [("text", "# e\n"), ("table", "x | y\nz | w\n\n"), ("list", "- f\n- g\n"), ("text", "h")]
+    assert [text[a:b] for a, b in splitting.packed(text, root, 46)][:2] == ["Chapter 1\nSection 1\n1.01 a\n1.01(2) b\n1.02 c\n", "Section 2\nd\nChapter 2\n"]
+
+
+def test_headings_stay_with_their_text():
+    body = "word " * 30
+    text = f"# A\n{body}\n# B\n{body}{body}\n# C\n{body}"
+    spans = splitting.packed(text, splitting.tree(text), 200)
+    assert "".join(text[a:b] for a, b in spans) == text and all(b - a <= 200 for a, b in spans)
+    assert [text[a : a + 3] for a, b in spans if text[a] == "#"] == ["# A", "# B", "# C"]
+
+
 def test_pieces_prefer_paragraphs_and_split_oversized(spark):
     text = "\n\n".join(["x" * 40 + "."] * 5)
     assert all(text[:b].endswith("\n\n") for _, b in splitting.pieces(text, 100, 10)[:-1])
@@ -177,6 +194,27 @@ def test_large_cells_meet_their_targets(spark):
         assert {r.primary_category: (r.n, r.rows) for r in got} == {"a": (1, 1), "b": (8, 8), "c": (40, 40), "d": (1, 1)}
 
 
+def test_short_cells_are_made_up_for_on_the_marginals(spark):
+    cells = [(c, x, d) for c in "abc" for x in ("en", "zh") for d in ("easy", "hard")]
+    have, target = np.array([200.0] * 12), np.array([10.0, 12, 8, 10, 6, 6, 6, 6, 20, 4, 4, 8])
+    have[0], have[7] = 3, 0
+    shares = proportions.marginals(cells)
+    expected = have * proportions.tilted(have, target, shares=shares)
+    assert expected[0] == 3 and expected[7] == 0 and abs(expected.sum() - target.sum()) < 1e-6
+    assert np.abs(shares.T @ expected - shares.T @ target).max() < 0.2  # 7 and 6 are missing in the cells
+    assert (expected >= 1 - 1e-9)[have > 0].all() and (expected <= have + 1e-9).all()
+    scarce = np.minimum(have, 4)
+    assert np.allclose(scarce * proportions.tilted(scarce, target, shares=shares), scarce)
+    quota = spark.createDataFrame([(*c, int(t)) for c, t in zip(cells, target)], "primary_category string, language string, difficulty string, count int")
+    rows = [(f"{''.join(c)}{i}", *c, True) for c, h in zip(cells, have) for i in range(int(h))]
+    cases = spark.createDataFrame(rows, "case_id string, primary_category string, language string, difficulty string, accepted boolean")
+    sample = proportions.proportional_sample(cases, quota, block=60, make_up=True)
+    told = {(r.primary_category, r.language, r.difficulty): r for r in proportions.report(sample, cases, quota).collect()}
+    assert sample.count() == target.sum() == sample.select("case_id").distinct().count()
+    assert {c: r.short for c, r in told.items() if r.short} == {cells[0]: 7, cells[7]: 6}
+    assert all(abs(told[c].drawn - e) < 1 for c, e in zip(cells, expected))
+
+
 # problem 5
 
 SAME = [("Test, size 12", ["Ｔｅｓｔ， size 12", "Tеst, size 12", "Te​st, size １２", " Test,  size 12\r"]), ("é à", ["é à"]), ("ệ", ["ệ", "ệ", "ệ"]), ("profit IV", ["proﬁt Ⅳ"]), ("well-known", ["well‑known"])]
