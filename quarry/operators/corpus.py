@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,27 +10,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Headings that open a block, one per kind.
-HEADINGS = {
-    "chapter": r"(?:Chapter|CHAPTER)\s+(\d{1,3}[A-Za-z]?)\s*[:\-]?\s*(.*?)",
-    "section": r"(?:Section|SECTION)\s+(\d{1,3}(?:\.\d{1,3})?)\s*[:\-]?\s*(.*?)",
-    "rule": r"(\d{1,3}[A-Za-z]?(?:\.\d{1,3})?(?:\.\d{1,3})?)\s*[:\-]?\s*(.*?)",
-}
+#: A heading line is a word or none, a number of so many parts, an optional colon or dash, and a title; each opens a block of its kind.
+_NUMBER = r"(\d{1,3}[A-Za-z]?(?:\.\d{1,3}){0,%d})[ \t]*[:-]?[ \t]*(.*)"
+HEADINGS = {"chapter": r"(?:Chapter|CHAPTER)[ \t]+" + _NUMBER % 0, "section": r"(?:Section|SECTION)[ \t]+" + _NUMBER % 1, "rule": _NUMBER % 2}
 
 
 def structure_blocks(docs: DataFrame, compat: bool = False) -> DataFrame:
     """(document_id, kind, number, title, start, stop, text, chapter): a block runs from its heading to the next of the same kind;
     documents without headings are one block of kind document.
 
-    Headings are found line by line, with running offsets. chapter is the chapter heading that precedes the block; with compat, every
+    Headings are found line by line, with running offsets; a heading without a title of its own has the next line that isn't blank as
+    title, and that line stays part of the text. chapter is the chapter heading that precedes the block; with compat, every
     block that isn't a chapter gets the document's last chapter instead. Rows of one id count once; null texts are empty.
     """
     base = docs.select("document_id", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["document_id"])
     lines = base.select("document_id", F.posexplode(F.split("text", "\n")).alias("n", "line"), F.length("text").alias("size"))
     order = Window.partitionBy("document_id").orderBy("n")
     placed = lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # the next line with text: the last one from the end
+    back = Window.partitionBy("document_id").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("next", F.last(F.when(F.trim("line") != "", F.trim("line")), ignorenulls=True).over(back))
     kinds = F.array(*[F.when(F.col("line").rlike("^" + p + "$"), F.struct(F.lit(k).alias("kind"), F.trim(F.regexp_extract("line", "^" + p + "$", 1)).alias("number"), F.trim(F.regexp_extract("line", "^" + p + "$", 2)).alias("title"))) for k, p in HEADINGS.items()])
-    heads = placed.select("document_id", "start", "size", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("h")).select("document_id", "start", "size", "h.*")
+    heads = placed.select("document_id", "start", "size", "next", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("h"))
+    heads = heads.select("document_id", "start", "size", "h.kind", "h.number", F.coalesce(F.when(F.col("h.title") != "", F.col("h.title")), "next", F.lit("")).alias("title"))
     stop = F.lead("start").over(Window.partitionBy("document_id", "kind").orderBy("start"))
     label = F.when(F.col("kind") == "chapter", F.concat(F.lit("Chapter "), "number", F.when(F.col("title") != "", F.concat(F.lit(": "), "title")).otherwise("")))
     whole = Window.partitionBy("document_id").orderBy("start", "kind")
@@ -51,25 +54,34 @@ def windows(docs: DataFrame, key: str = "doc_id", width: int = 1500, overlap: in
 
 
 def packed(paragraphs: list[str], width: int, overlap: int) -> list[str]:
-    """Paragraphs packed greedily with a blank line between; a new chunk begins with the end of the last, unless that would pass the
-    width; paragraphs beyond the width slide."""
+    """Paragraphs packed greedily with a blank line between. A new chunk begins with the end of the last one, as far as the width
+    allows: no chunk passes it. Paragraphs beyond the width slide."""
     out: list[str] = []
-    held = ""
-    for p in (x.strip() for x in paragraphs):
-        if not p:
-            continue
+    held: list[str] = []
+
+    def room() -> int:
+        return width - sum(map(len, held)) - 2 * len(held)
+
+    def close() -> str:
+        whole = "\n\n".join(held)
+        if whole:
+            out.append(whole)
+        held.clear()
+        return whole
+
+    for p in filter(None, (x.strip() for x in paragraphs)):
         if len(p) > width:
-            out += [held] if held else []
-            held = ""
+            close()
             out += [p[i : i + width] for i in range(0, len(p), width - overlap)]
-        elif not held:
-            held = p
-        elif len(held) + len(p) + 2 <= width:
-            held = f"{held}\n\n{p}"
-        else:
-            out.append(held)
-            held = f"{held[-overlap:]}\n\n{p}" if len(held) > overlap else p
-    return [x.strip() for x in [*out, held] if x.strip()]
+            continue
+        if len(p) > room():
+            last = close()
+            carried = min(overlap, width - len(p) - 2)
+            if len(last) > overlap and carried > 0:
+                held.append(last[-carried:])
+        held.append(p)
+    close()
+    return [x for x in (y.strip() for y in out) if x]
 
 
 def chunks(blocks: DataFrame, width: int = 1500, overlap: int = 100) -> DataFrame:
@@ -103,15 +115,28 @@ def chunks(blocks: DataFrame, width: int = 1500, overlap: int = 100) -> DataFram
 
 
 def kept_lines(docs: DataFrame, key: str, text: str, long: int = 120, repeats: int = 3) -> DataFrame:
-    """(key, text): lines that follow an equal kept line go; of a short line the first repeats stay, of a long one the first.
+    """(key, text): a line that follows an equal kept line goes; of a short line the first repeats stay, of a long one, case aside, the
+    first. Repeats in a row don't count; short lines are compared as they are written. Null texts are empty.
 
-    One ordered fold per document over its array of lines; consecutive repeats don't advance the count.
+    One ordered fold per document with a count of each line, linear in its lines, in Arrow batches; documents stay where they are.
     """
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
-    def step(kept, x):
-        seen = F.size(F.filter(kept, lambda y: F.lower(y) == F.lower(x)))
-        ok = (F.coalesce(F.try_element_at(kept, F.lit(-1)), F.lit("\n")) != x) & F.when(F.length(x) >= long, seen < 1).otherwise(seen < repeats)
-        return F.when(ok, F.concat(kept, F.array(x))).otherwise(kept)
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "text": ["\n".join(_kept([y for y in (x.strip(" ") for x in t.split("\n")) if y], long, repeats)) for t in b["_t"]]})
+
+    given = docs.select(key, F.coalesce(text, F.lit("")).alias("_t"))
+    return given.mapInPandas(fold, f"`{key}` {docs.schema[key].dataType.simpleString()}, text string")
+
 
-    return docs.select(key, F.array_join(F.aggregate(lines, F.array().cast("array<string>"), step), "\n").alias("text"))
+def _kept(lines: list[str], long: int, repeats: int) -> list[str]:
+    seen: Counter[str] = Counter()
+    out: list[str] = []
+    for x in lines:
+        if out and out[-1] == x:
+            continue
+        like, most = (x.lower(), 1) if len(x) >= long else (x, repeats)
+        seen[like] += 1
+        if seen[like] <= most:
+            out.append(x)
+    return out

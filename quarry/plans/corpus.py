@@ -76,10 +76,10 @@ def sub_queries(spark, d):
 
 
 def answer_points(spark, d):
-    """Held-out items of one category as answers to each other's first words."""
-    items = read(spark, d, "heldout_item").where("lang = 'en'").select("item_id", "text")
-    points = items.where("item_id % 100 = 0").select(F.col("item_id").alias("point_id"), F.substring("text", 1, 120).alias("point"))
-    return items.crossJoin(F.broadcast(points)).where(T.contains_point(F.col("text"), F.col("point"))).select("item_id", "point_id")  # two fixed rows
+    """All held-out items as answers to the stated set of those whose number is divisible by 100."""
+    items = read(spark, d, "heldout_item").select("item_id", "text")
+    points = items.where("item_id % 100 = 0").select(F.col("item_id").alias("point_id"), F.col("text").alias("point"))
+    return items.crossJoin(F.broadcast(points)).where(T.contains_point(F.col("text"), F.col("point"))).select("item_id", "point_id")  # a fixed table
 
 
 def chunk_windows(spark, d):
@@ -95,13 +95,16 @@ def structure_blocks(spark, d):
 
 
 _LINE = "SELECT document_id, unnest(range(0, len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line, length(text) AS size FROM d"
-_HEADS = " UNION ALL ".join(
-    f"SELECT document_id, n, start, size, '{k}' AS kind, trim(regexp_extract(line, '^{p}$', 1), ' ') AS number, trim(regexp_extract(line, '^{p}$', 2), ' ') AS title FROM p WHERE regexp_matches(line, '^{p}$')" for k, p in C.HEADINGS.items()
-)
+# Written apart from the operator: the heading words first, then the number, and the title from what follows on the line.
+_HEADS = """
+  SELECT *, 'chapter' AS kind, regexp_extract(line, '^C[Hh][Aa][Pp][Tt][Ee][Rr][ \\t]+([0-9]+[A-Za-z]?)', 1) AS number, regexp_replace(line, '^[A-Za-z]+[ \\t]+[0-9]+[A-Za-z]?[ \\t]*[:-]?[ \\t]*', '') AS own FROM p WHERE regexp_matches(line, '^(Chapter|CHAPTER)[ \\t]+[0-9]{1,3}([A-Za-z]|[^0-9A-Za-z]|[A-Za-z].*|$)')
+  UNION ALL SELECT *, 'section' AS kind, regexp_extract(line, '^[A-Za-z]+[ \\t]+([0-9]{1,3}[A-Za-z]?(\\.[0-9]{1,3})?)', 1) AS number, regexp_replace(line, '^[A-Za-z]+[ \\t]+[0-9]{1,3}[A-Za-z]?(\\.[0-9]{1,3})?[ \\t]*[:-]?[ \\t]*', '') AS own FROM p WHERE regexp_matches(line, '^(Section|SECTION)[ \\t]+[0-9]')
+  UNION ALL SELECT *, 'rule' AS kind, regexp_extract(line, '^([0-9]{1,3}[A-Za-z]?(\\.[0-9]{1,3}){0,2})', 1) AS number, regexp_replace(line, '^[0-9]{1,3}[A-Za-z]?(\\.[0-9]{1,3}){0,2}[ \\t]*[:-]?[ \\t]*', '') AS own FROM p WHERE regexp_matches(line, '^[0-9]')"""
 BLOCKS = f"""
   WITH d AS (SELECT document_id, coalesce(any_value(cleaned_text), '') AS text FROM source_document GROUP BY document_id), l AS ({_LINE}),
   p AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY document_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l),
-  h AS ({_HEADS}),
+  y AS (SELECT p.*, last_value(CASE WHEN trim(line, ' ') <> '' THEN trim(line, ' ') END IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS next FROM p),
+  h AS (SELECT document_id, n, start, size, kind, trim(number, ' ') AS number, coalesce(nullif(trim(own, ' '), ''), next, '') AS title FROM ({_HEADS.replace('FROM p ', 'FROM y ')})),
   s AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY document_id, kind ORDER BY start), size) AS stop,
         CASE WHEN kind = 'chapter' THEN 'Chapter ' || number || CASE WHEN title <> '' THEN ': ' || title ELSE '' END END AS label FROM h),
   c AS (SELECT *, coalesce(label, last_value(label IGNORE NULLS) OVER (PARTITION BY document_id ORDER BY start, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS chapter FROM s)
@@ -117,6 +120,16 @@ def line_dedupe(spark, d):
     return C.kept_lines(read(spark, d, "source_document").dropDuplicates(["document_id"]), "document_id", "cleaned_text")
 
 
+# A recursion over each document's lines, with the lines kept so far.
+LINES = """
+  WITH RECURSIVE d AS (SELECT document_id, list_filter(list_transform(string_split(coalesce(any_value(cleaned_text), ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM source_document GROUP BY document_id),
+  r AS (SELECT document_id, l, 1 AS i, []::VARCHAR[] AS kept, []::VARCHAR[] AS met FROM d
+    UNION ALL SELECT document_id, l, i + 1,
+      CASE WHEN kept[-1] IS NOT DISTINCT FROM l[i] OR (length(l[i]) >= 120 AND list_contains(list_transform(list_filter(kept, lambda x: length(x) >= 120), lambda x: lower(x)), lower(l[i]))) OR (length(l[i]) < 120 AND len(list_filter(met, lambda x: x = l[i])) >= 3) THEN kept ELSE list_append(kept, l[i]) END,
+      CASE WHEN kept[-1] IS NOT DISTINCT FROM l[i] THEN met ELSE list_append(met, l[i]) END FROM r WHERE i <= len(l))
+  SELECT document_id, array_to_string(kept, chr(10)) AS text FROM r WHERE i = len(l) + 1"""
+
+
 _NUM = "-?[0-9]{1,3}(?:,[0-9]{3})+(?:\\.[0-9]+)?|-?[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _show = "list_transform(list_sort(list_distinct({0})), lambda x: CAST(CAST(x AS {1}) AS VARCHAR))"
 DOCS = "SELECT doc_id, {0} FROM documents"
@@ -136,11 +149,11 @@ QUERIES = {
     "rule_references": (rule_references, DOCS.format(f"CASE WHEN text IS NOT NULL THEN array_to_string({_REFS.format('text')}, ' ') END AS rules")),
     "stream_pieces": (stream_pieces, "SELECT doc_id, seq::INT AS seq, substr(text, (seq * 100 + 1)::INT, 100) AS piece FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 100 + 1)) AS seq FROM documents WHERE length(text) > 0)"),
     "sub_queries": (sub_queries, "SELECT request_id, unnest(range(0, len(l)))::INT AS part, unnest(l) AS text FROM (SELECT request_id, list_filter(list_transform(regexp_split_to_array(query, '(?i)\\s+(?:and|or)\\s+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM (SELECT DISTINCT request_id, query FROM query_request))"),
-    "answer_points": (answer_points, """WITH i AS (SELECT item_id, text FROM heldout_item WHERE lang = 'en'), p AS (SELECT item_id AS point_id, list_transform(list_filter(regexp_split_to_array(trim(substr(text, 1, 120)), '\\s+'), lambda w: length(w) > 3), lambda w: lower(w)) AS w FROM i WHERE item_id % 100 = 0)
+    "answer_points": (answer_points, """WITH i AS (SELECT item_id, text FROM heldout_item), p AS (SELECT item_id AS point_id, list_transform(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: length(w) > 3), lambda w: lower(w)) AS w FROM i WHERE item_id % 100 = 0)
       SELECT item_id, point_id FROM i, p WHERE len(w) > 0 AND len(list_filter(w, lambda x: contains(lower(text), x))) >= 0.5 * len(w)"""),
     "chunk_windows": (chunk_windows, """SELECT doc_id, chunk_order::INT AS chunk_order, (chunk_order * 1400)::INT AS char_start, least(chunk_order * 1400 + 1500, length(text))::INT AS char_end,
       regexp_replace(substr(text, (chunk_order * 1400 + 1)::INT, 1500), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') AS text FROM (SELECT doc_id, text, unnest(range(0, (length(text) - 1) // 1400 + 1)) AS chunk_order FROM documents WHERE length(text) > 0)"""),
     "structure_blocks": (structure_blocks, BLOCKS),
     "chunk_documents": (chunk_documents, None),
-    "line_dedupe": (line_dedupe, None),
+    "line_dedupe": (line_dedupe, LINES),
 }
