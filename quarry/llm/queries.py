@@ -140,7 +140,9 @@ def p10_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_templates(spark: SparkSession, d: str) -> DataFrame:
-    return residue.templates(stored(residue.judged(stored(residue.segments(read(spark, d, "documents"))))))
+    """The templates that aren't content, with the number of their documents."""
+    mined = stored(residue.templates(residue.leaves(read(spark, d, "documents"))))
+    return mined.join(residue.verdicts(mined, residue.trained(mined)), "leaf").select("leaf", "low", "high", "support", "message", "filler")
 
 
 @functools.cache
