@@ -33,24 +33,31 @@ def lexical_index(chunks: DataFrame, key: str = "chunk_id", text: str = "text")
     return LexicalIndex(postings, terms, corpus)
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, k: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
+def bm25(queries: DataFrame, chunks: DataFrame | LexicalIndex, k: int = 20, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """(query_id, chunk_id, score, rank): positive scores only, best k of each query, ties by chunk_id; scores rounded to 6 places.
 
-    Only terms of the queries are indexed: postings shrink by a join with the queries' terms (broadcast by Spark where they are few)
-    before they are counted, and the rest is kept as a table, since both document frequencies and scores read it. Repeated query
-    tokens add.
+    chunks is a table of texts, or an index that was stored before: only its postings of the queries' terms are read then. Of texts only
+    terms of the queries are indexed: each text is tokenised once, and what is left of it, its length and its counts of the asked terms,
+    is kept as a table that lengths, document frequencies and scores read. Repeated query tokens add.
     """
-    docs = chunks.select(F.col(key).alias("chunk_id"), F.col(text).alias("text")).dropDuplicates(["chunk_id"])
-    docs = docs.select("chunk_id", F.coalesce(T.bm25_tokens("text"), F.array().cast("array<string>")).alias("tokens"))
-    corpus = docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     asked = queries.select("query_id", F.explode(T.bm25_tokens("text")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     words = asked.select("term").distinct()
-    postings = docs.select("chunk_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(words, "term", "left_semi")
-    postings = stored(postings.groupBy("chunk_id", "term", "length").agg(F.count("*").alias("tf")))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    if isinstance(chunks, LexicalIndex):
+        corpus, postings = chunks.corpus, chunks.postings.join(F.broadcast(words), "term", "left_semi")  # a stated set of queries
+        weighted = chunks.terms.join(F.broadcast(words), "term", "left_semi").select("term", "idf")
+    else:
+        docs = chunks.select(F.col(key).alias("chunk_id"), F.coalesce(T.bm25_tokens(text), F.array().cast("array<string>")).alias("tokens"))
+        held = docs.select("chunk_id", F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term")).join(words.withColumn("asked", F.lit(True)), "term", "left")
+        # each row of a chunk tells its length by its terms: rows of one chunk are as many times its length as the chunk has rows
+        held = stored(held.groupBy("chunk_id", "length", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count("*").alias("tf")))
+        whole = held.groupBy("chunk_id", "length").agg((F.sum("tf") / F.greatest(F.col("length"), F.lit(1))).cast("bigint").alias("rows"))
+        corpus = whole.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
+        postings = held.where("term is not null").join(whole.where("rows > 1").select("chunk_id", "rows"), "chunk_id", "left")
+        postings = postings.select("chunk_id", "term", "length", (F.col("tf") / F.coalesce("rows", F.lit(1))).cast("bigint").alias("tf"))
+        df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(corpus))  # one row
+        weighted = df.select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weights = asked.join(df, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (F.col("qtf") * idf).alias("weight"))
+    weights = asked.join(weighted, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (F.col("qtf") * F.col("idf")).alias("weight"))
     scored = postings.join(weights, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * part), 6).alias("score"))
     return ranked(scored.where("score > 0"), k)
 
@@ -82,40 +89,116 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _matrix(queries: DataFrame, most_mb: int = 256):
+    """Ids and unit vectors of a stated query set, to be broadcast; more than most_mb of them is an error: search in parts."""
+    import numpy as np
+
+    size = queries.agg(F.sum(F.size("embedding") * 8 + 64)).first()[0] or 0
+    if size > most_mb << 20:
+        raise ValueError(f"queries of {size >> 20} MB: search in parts of {most_mb} MB, or take approximate neighbours")
+    rows = queries.select("query_id", normalized("embedding").alias("embedding")).orderBy("query_id").collect()  # bound by most_mb
+    return [r.query_id for r in rows], np.array([r.embedding for r in rows], np.float64).reshape(len(rows), -1)
+
+
 def dense(queries: DataFrame, vectors: DataFrame, k: int = 20, block: int = 256, least: float | None = None, drop_self: bool = False) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact top k by inner product of unit vectors.
 
-    queries (query_id, embedding) are a stated set; they are packed into blocks that meet every partition of the corpus, which stays
-    where it is. Each Arrow batch is one matrix product, and leaves only its own best k of each query to the shuffle.
+    queries (query_id, embedding) are a stated set, whose matrix is broadcast, its size checked; the corpus stays where it is. Each
+    Arrow batch meets the queries in blocks, and leaves only its own best k of each query to the shuffle.
     """
     import numpy as np
     import pandas as pd
 
-    packed = queries.select("query_id", normalized("embedding").alias("embedding")).withColumn("b", F.pmod(F.xxhash64("query_id"), F.greatest(F.lit(1), F.lit(queries.count() // block))))
-    packs = packed.groupBy("b").agg(F.collect_list(F.struct("query_id", "embedding")).alias("pack"))
-    kind = queries.schema["query_id"].dataType.simpleString()
-    other = vectors.schema["chunk_id"].dataType.simpleString()
+    kind, other = queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString()
+    shared = vectors.sparkSession.sparkContext.broadcast(_matrix(queries))
 
     def work(batches):
+        ids, matrix = shared.value
         for b in batches:
-            for _, g in b.groupby("b", sort=False):
-                pack = g.pack.iloc[0]
-                q = np.array([p["embedding"] for p in pack], np.float64)
-                ids = [p["query_id"] for p in pack]
-                c = np.stack(g.embedding.to_list()).astype(np.float64)
-                scores = np.round(q @ c.T, 6)
-                own = g.chunk_id.to_numpy()
-                for i, row in enumerate(scores):
-                    take = np.flatnonzero(row >= np.partition(row, -min(k + 1, len(row)))[-min(k + 1, len(row))])
-                    yield pd.DataFrame({"query_id": ids[i], "chunk_id": own[take], "score": row[take]})
+            own, c = b.chunk_id.to_numpy(), np.stack(b.embedding.to_list()).astype(np.float64)
+            for at in range(0, len(ids), block):
+                scores = np.round(matrix[at : at + block] @ c.T, 6)
+                if least is not None:
+                    scores[scores < least] = -np.inf
+                if drop_self:
+                    scores[np.array(ids[at : at + block], dtype=object)[:, None] == own[None, :]] = -np.inf
+                cut = np.partition(scores, -min(k, scores.shape[1]), axis=1)[:, -min(k, scores.shape[1])]
+                q, j = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+                yield pd.DataFrame({"query_id": [ids[at + i] for i in q], "chunk_id": own[j], "score": scores[q, j]})
 
     unit = vectors.select("chunk_id", normalized("embedding").alias("embedding"))
-    met = unit.crossJoin(F.broadcast(packs)) if queries.count() <= 20_000 else unit.crossJoin(packs)  # a stated query set, in blocks
-    out = met.mapInPandas(work, f"query_id {kind}, chunk_id {other}, score double")
-    if least is not None:
-        out = out.where(F.col("score") >= least)
-    if drop_self:
-        out = out.where("query_id <> chunk_id")
+    return ranked(unit.mapInPandas(work, f"query_id {kind}, chunk_id {other}, score double"), k)
+
+
+def centroids(vectors: DataFrame, count: int, sample: int = 20_000, rounds: int = 8):
+    """Unit centroids of a sample of at most sample vectors by a hash of the id (a documented, bounded sample), by spherical k-means."""
+    import numpy as np
+
+    rows = vectors.select(normalized("embedding").alias("embedding"), F.xxhash64("chunk_id").alias("h")).orderBy("h").limit(sample).collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    if not len(x):
+        return np.zeros((0, 1))
+    c = x[np.linspace(0, len(x) - 1, min(count, len(x))).astype(int)]
+    for _ in range(rounds):
+        own = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, own, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
+    return c
+
+
+def approximate_neighbours(vectors: DataFrame, k: int = 5, lists: int = 64, probes: int = 16, block: int = 2000, least: float | None = None, sample: int = 20_000) -> DataFrame:
+    """(query_id, chunk_id, score, rank): the k nearest other vectors of every vector, within its nearest lists.
+
+    An inverted file: centroids are fitted on a bounded sample, every vector is put into its nearest list and looks into its probes nearest
+    ones. Lists are cut into blocks by a hash of the id, so a list that holds a third of all vectors is spread over tasks; a task meets a
+    list's block with those who look there. Scores are exact, what is approximate is which pairs meet.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = vectors.schema["chunk_id"].dataType.simpleString()
+    unit = vectors.dropDuplicates(["chunk_id"]).select("chunk_id", normalized("embedding").alias("embedding"))
+    shared = vectors.sparkSession.sparkContext.broadcast(centroids(vectors, lists, sample))
+
+    def assign(batches):
+        c = shared.value
+        for b in batches:
+            near = np.argsort(-(np.stack(b.embedding.to_list()) @ c.T), axis=1)[:, :probes]
+            yield pd.DataFrame({"chunk_id": b.chunk_id, "embedding": b.embedding, "near": list(near.astype(np.int32))})
+
+    placed = stored(unit.mapInPandas(assign, f"chunk_id {kind}, embedding array<double>, near array<int>"))
+    own = placed.select("chunk_id", "embedding", F.col("near")[0].alias("list"))
+    sizes = own.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # one row a list
+    held = own.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("chunk_id"), "blocks").cast("int"))
+    looks = placed.select(F.col("chunk_id").alias("query_id"), "embedding", F.explode("near").alias("list")).join(F.broadcast(sizes), "list")
+    looks = looks.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def meet(key, left, right):
+        left, right = left.rename(columns=lambda c: c[2:]), right.rename(columns=lambda c: c[2:])
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
+        c, ids, out = np.stack(right.embedding.to_list()), right.chunk_id.to_numpy(), []
+        for at in range(0, len(left), 1000):
+            asked = left.query_id.to_numpy()[at : at + 1000]
+            scores = np.round(np.stack(left.embedding.iloc[at : at + 1000].to_list()) @ c.T, 6)
+            scores[asked[:, None] == ids[None, :]] = -np.inf
+            if least is not None:
+                scores[scores < least] = -np.inf
+            n = min(k, scores.shape[1])
+            cut = np.partition(scores, -n, axis=1)[:, -n]
+            q, j = np.nonzero((scores >= cut[:, None]) & (scores > -np.inf))
+            out.append(pd.DataFrame({"query_id": asked[q], "chunk_id": ids[j], "score": scores[q, j]}))
+        return pd.concat(out, ignore_index=True)
+
+    # those who look are as many as all vectors in a hot list: they are cut as well, each part meeting the whole block
+    looks = looks.withColumn("turn", F.pmod(F.xxhash64("query_id", F.lit(1)), F.col("blocks")).cast("int"))
+    held = held.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["list", "part", "turn"]
+    left, right = ["query_id", "embedding", *keys], ["chunk_id", "embedding", *keys]
+    looks, held = looks.toDF(*looks.columns).select(left).toDF(*[f"l_{c}" for c in left]), held.select(right).toDF(*[f"r_{c}" for c in right])
+    out = looks.groupBy(*[f"l_{c}" for c in keys]).cogroup(held.groupBy(*[f"r_{c}" for c in keys])).applyInPandas(meet, f"query_id {kind}, chunk_id {kind}, score double")
     return ranked(out, k)
 
 

@@ -135,7 +135,7 @@ QUERIES = {
     "breakdowns": (breakdowns, BREAKDOWNS),
     "kappa": (kappa, KAPPA),
     "mcnemar_counts": (mcnemar_counts, MCNEMAR),
-    "mcnemar_test": (mcnemar_test, None),
+    "mcnemar_test": (mcnemar_test, f"WITH c AS ({MCNEMAR}), n AS (SELECT *, a_only + b_only AS t, least(a_only, b_only) AS low FROM c) SELECT a_only, b_only, round(CASE WHEN t = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(t + 1) - lgamma(i + 1) - lgamma(t - i + 1) - t * ln(2))) FROM range(0, low + 1) r(i))) END, 6) AS p_value FROM n"),
     "bootstrap_ci": (bootstrap_ci, None),
     "stratified_sample": (stratified_sample, SAMPLE),
     "distributions": (distributions, DISTRIBUTIONS),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of queries; each has QUERIES: name -> (function, SQL or None).
-MODULES = ["retrieval", "corpus", "graph", "evaluation", "governance", "sessions", "answers", "inference", "metrics"]
+MODULES = ["retrieval", "corpus", "graph", "evaluation", "governance", "sessions", "answers", "inference", "metrics", "dedupe"]
 
 
 def _all():

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import retrieval as R
-from quarry.session import materialise, read
+from quarry.session import ensure_checkpoint_dir, materialise, read
+from quarry.sources.files import read_index, write_index
 
 #: Searches take the stated set of requests and vectors whose number is divisible by 100.
 ASKED_SQL = "SELECT DISTINCT request_id AS query_id, query AS text FROM query_request WHERE query <> '' AND CAST(substr(request_id, 3) AS BIGINT) % 100 = 0"
@@ -68,6 +71,20 @@ def bm25_topk(spark, d):
     return R.bm25(asked(spark, d), chunks(spark, d))
 
 
+def bm25_stored(spark, d):
+    """The same search over an index that was written and read back: only postings of the asked terms are read."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/index-{uuid.uuid4().hex}"
+    write_index(R.lexical_index(chunks(spark, d)), folder)
+    return R.bm25(asked(spark, d), read_index(spark, folder))
+
+
+def knn_all(spark, d):
+    """The five nearest of every vector, by lists of centroids."""
+    v = _vectors(spark, d)[1]
+    return R.approximate_neighbours(v, k=5)
+
+
 def overlap_topk(spark, d):
     return R.overlap(asked(spark, d), chunks(spark, d))
 
@@ -178,7 +195,7 @@ DIMENSION = "SELECT len(embedding) AS dimension, count(*) AS vectors, count(*) F
 
 def _results(spark, d) -> DataFrame:
     """Fused results with their chunks' fields; ids without a chunk are dropped."""
-    own = read(spark, d, "chunk").groupBy("chunk_id").agg(F.first(F.struct("rule_number", "section_title", "text", "source_path"), ignorenulls=True).alias("c"))
+    own = read(spark, d, "chunk").groupBy("chunk_id").agg(F.min(F.struct("rule_number", "section_title", "text", "source_path")).alias("c"))
     return rrf_fuse(spark, d).join(own, "chunk_id").select("query_id", "chunk_id", "score", "rank", "c.*")
 
 
@@ -248,6 +265,14 @@ def second_round(spark, d):
     return R.ranked(best.join(first, ["query_id", "chunk_id"], "left_anti"), 10)
 
 
+SECOND = f"""
+  WITH t AS (SELECT DISTINCT whole AS query_id, text AS task FROM ({_PARTS_SQL})), r AS MATERIALIZED (SELECT query_id, chunk_id, text FROM ({RESULTS})),
+  g AS (SELECT t.query_id, t.task FROM t LEFT JOIN r USING (query_id) GROUP BY ALL HAVING NOT coalesce(bool_or(len(list_intersect({MIXED.format("t.task")}, {MIXED.format("r.text")})) >= 0.3 * len({MIXED.format("t.task")})), false)),
+  a AS (SELECT query_id || '|' || task AS query_id, task AS text, query_id AS whole FROM g), b AS ({bm25_sql("SELECT query_id, text FROM a", 10)}),
+  m AS (SELECT a.whole AS query_id, b.chunk_id, max(b.score) AS score FROM b JOIN a USING (query_id) GROUP BY ALL)
+  SELECT * FROM (SELECT m.*, row_number() OVER (PARTITION BY m.query_id ORDER BY score DESC, m.chunk_id) AS rank FROM m ANTI JOIN r ON r.query_id = m.query_id AND r.chunk_id = m.chunk_id) WHERE rank <= 10"""
+
+
 def rule_lookup(spark, d):
     """Chunks of the rules that requests refer to, in order; null rule numbers never match."""
     q = read(spark, d, "query_request").select(F.col("request_id").alias("query_id"), F.col("query").alias("text")).distinct()
@@ -277,6 +302,8 @@ QUERIES = {
     "term_stats": (term_stats, TERM_STATS),
     "corpus_stats": (corpus_stats, CORPUS_STATS),
     "bm25_topk": (bm25_topk, bm25_sql(ASKED_SQL)),
+    "bm25_stored": (bm25_stored, bm25_sql(ASKED_SQL)),
+    "knn_all": (knn_all, None),
     "overlap_topk": (overlap_topk, overlap_sql()),
     "rrf_fuse": (rrf_fuse, FUSED),
     "minmax_scores": (minmax_scores, MINMAX),
@@ -290,7 +317,7 @@ QUERIES = {
     "evidence_select": (evidence_select, EVIDENCE),
     "evidence_diversity": (evidence_diversity, DIVERSITY),
     "task_coverage": (task_coverage, COVERAGE),
-    "second_round": (second_round, None),
+    "second_round": (second_round, SECOND),
     "rule_lookup": (rule_lookup, LOOKUP),
     "chunk_by_id": (chunk_by_id, BY_ID),
 }
