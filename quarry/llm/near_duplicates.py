@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.forms import fold
 from quarry.session import materialise, stored
@@ -129,19 +128,66 @@ def _run_sets(df: DataFrame, key: str, text: str, wanted: DataFrame, k: int) ->
     return texts.mapInPandas(work, "node bigint, runs array<bigint>").dropDuplicates(["node"])
 
 
+def _pairs_of_runs(batches: Iterator[pd.DataFrame], block: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by bucket as pairs of the nodes of each bucket, (a, b, null); a bucket of more than block nodes comes out as its rows,
+    (node, null, bucket). Only the run that a batch breaks is held, and never more than block rows of it."""
+
+    def rows(a, b=None, bucket=None):
+        none = pd.array([None] * len(a), dtype="Int64")
+        return pd.DataFrame({"a": a, "b": none if b is None else b, "bucket": none if bucket is None else bucket})
+
+    def whole(k: np.ndarray, n: np.ndarray) -> Iterator[pd.DataFrame]:
+        starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        sizes = np.diff(np.append(starts, len(k)))
+        for size in np.unique(sizes[sizes > 1]).tolist():
+            own = starts[sizes == size]
+            if size > block:
+                at = (own[:, None] + np.arange(size)).ravel()
+                yield rows(n[at], bucket=k[at])
+                continue
+            i, j = np.triu_indices(size, 1)
+            step = max(1, 200_000 // len(i))
+            for g in range(0, len(own), step):
+                nodes = n[own[g : g + step, None] + np.arange(size)]
+                yield rows(nodes[:, i].ravel(), nodes[:, j].ravel())
+
+    held, hot = (np.zeros(0, np.int64), np.zeros(0, np.int64)), None
+    for batch in batches:
+        k, n = np.concatenate([held[0], batch.bucket.to_numpy()]), np.concatenate([held[1], batch.node.to_numpy()])
+        if hot is not None:
+            m = int(np.searchsorted(k, hot, side="right"))
+            if m:
+                yield rows(n[:m], bucket=k[:m])
+            k, n = k[m:], n[m:]
+            if not len(k):
+                continue
+            hot = None
+        last = int(np.searchsorted(k, k[-1], side="left")) if len(k) else 0
+        if last:
+            yield from whole(k[:last], n[:last])
+        held = k[last:], n[last:]
+        if len(held[0]) > block:
+            yield rows(held[1], bucket=held[0])
+            held, hot = (held[0][:0], held[1][:0]), held[0][0]
+    if len(held[0]):
+        yield from whole(*held)
+
+
 def proposed(keyed: DataFrame, block: int = 1000) -> DataFrame:
-    """(a, b): distinct pairs of nodes, smaller first, that share a bucket; keyed: (node, bucket).
+    """(a, b): distinct pairs of nodes, smaller first, that share a bucket; keyed: (node, bucket), each row once.
 
-    A bucket of more than block nodes is cut into blocks by a hash of the node; one side goes to each of its bucket's blocks, so no
-    task compares more than a bucket with a block. Counting needs no shuffle of its own: it uses the one the join needs.
+    One shuffle brings buckets together, sorted, and pairs are read off the runs of equal buckets. A bucket of more than block nodes is
+    cut into blocks by a hash of the node; one side goes to each of its bucket's blocks, so no task compares more than a bucket with a
+    block.
     """
-    sized = keyed.withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
-    a, b = sized.alias("a"), sized.alias("b")
-    cold = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.size") <= block)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
-    hot = sized.where(F.col("size") > block).withColumn("blocks", F.ceil(F.col("size") / block))
+    run = keyed.select("node", "bucket").repartition("bucket").sortWithinPartitions("bucket", "node")
+    read = stored(run.mapInPandas(lambda batches: _pairs_of_runs(batches, block), "a bigint, b bigint, bucket bigint"))
+    hot = read.where("bucket is not null").select("bucket", F.col("a").alias("node"))
+    sizes = hot.groupBy("bucket").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    hot = hot.join(sizes, "bucket")
     one = hot.select("bucket", F.col("node").alias("b"), F.pmod(F.xxhash64("node"), "blocks").alias("part"))
     each = hot.select("bucket", F.col("node").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("part"))
-    return cold.unionByName(each.join(one, ["bucket", "part"]).where("a < b").select("a", "b")).distinct()
+    return read.where("bucket is null").select("a", "b").unionByName(each.join(one, ["bucket", "part"]).where("a < b").select("a", "b")).distinct()
 
 
 def candidates(df: DataFrame, key: str, text: str, k: int = 3, threshold: float = 0.7, bands: int = 36, rows: int = 6, broadcast_mb: int = 16) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
