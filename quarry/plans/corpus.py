@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import answers as A
 from quarry.operators import corpus as C
 from quarry.plans.retrieval import _REFS, MIXED, TOKENS, _snippet_sql
 from quarry.session import read
@@ -79,7 +80,7 @@ def answer_points(spark, d):
     """All held-out items as answers to the stated set of those whose number is divisible by 100."""
     items = read(spark, d, "heldout_item").select("item_id", "text")
     points = items.where("item_id % 100 = 0").select(F.col("item_id").alias("point_id"), F.col("text").alias("point"))
-    return items.crossJoin(F.broadcast(points)).where(T.contains_point(F.col("text"), F.col("point"))).select("item_id", "point_id")  # a fixed table
+    return A.contained_points(items, points)
 
 
 def chunk_windows(spark, d):

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import answers as A
 
 
@@ -30,3 +31,16 @@ def test_differences(spark):
     df = spark.createDataFrame([(1, '{"a": {"b": [1, 2]}, "c": "x"}', '{"a": {"b": [1.0000000001, 3]}}'), (2, "{}", "broken"), (3, None, None)], "k int, e string, a string")
     got = sorted((r.k, r.path, r.expected, r.actual) for r in A.differences(df, "k", "e", "a").collect())
     assert got == [("1", "a.b[1]", "2", "3"), ("1", "c", '"x"', None), ("2", "", "{}", None)]
+
+
+def test_contained_points_equal_the_cross_join_without_one(spark, rows, tmp_path):
+    from quarry.plans.corpus import answer_points
+
+    texts = ["The Issuer shall publish a circular", "issuershall PUBLISH", "a an the of", "", None, "circular circular paper", "The Issuer shall publish a circular"]
+    items = spark.createDataFrame([(i * 50, t) for i, t in enumerate(texts * 2)], "item_id bigint, text string")
+    items.write.parquet(f"{tmp_path}/heldout_item.parquet")
+    points = items.where("item_id % 100 = 0").select(F.col("item_id").alias("point_id"), F.col("text").alias("point"))
+    want = items.crossJoin(points).where(T.contains_point(F.col("text"), F.col("point"))).select("item_id", "point_id")
+    got = answer_points(spark, str(tmp_path))
+    assert rows(got) == rows(want) and len(rows(got)) > 10
+    assert "NestedLoopJoin" not in got._jdf.queryExecution().executedPlan().toString()
