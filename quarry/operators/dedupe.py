@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -45,28 +47,80 @@ def jaccard_pairs(texts: DataFrame, threshold: float = 0.9) -> DataFrame:
     return both.where(T.jaccard(F.col("p"), F.col("q")) >= threshold - 1e-12).select("a", "b")
 
 
-def sequence_pairs(texts: DataFrame, threshold: float = 0.9, run: int = 3) -> DataFrame:
-    """(a, b): different texts whose ratio of matching characters is threshold or more in either order.
+def sequence_pairs(texts: DataFrame, threshold: float = 0.9, block: int = 2000) -> DataFrame:
+    """(a, b): different texts whose ratio of matching characters is threshold or more in either order; no pair is lost.
 
-    Of texts of x and y characters at most (1 - threshold) * (x + y) characters stay unmatched, and each of them breaks at most run of a
-    text's runs of characters; y is at most (2 - threshold) / threshold * x. All other runs are shared, so pairs share one of the rarest
-    ones, and pairs that share too few go before the ratio is computed. A text with no more different runs than may break (of up to 12
-    characters, or mostly repetition) is also looked at with all such texts of about its length.
+    Of texts of x and y characters y is at most (2 - threshold) / threshold * x, so texts meet those of their own and the next band of
+    lengths, in blocks. At most (1 - threshold) * (x + y) characters stay unmatched: pairs whose counts of characters differ by more, or
+    whose longest common subsequence leaves more out, go before the ratio is computed.
     """
-    size = F.length("t")
-    lost = F.floor(size * ((1 - threshold) * 2 / threshold * run) + 1e-9)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - run + 1, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(run))))
-    own = texts.select("id", "t", size.alias("size"), lost.alias("lost"), runs.alias("runs"))
-    band = F.floor(F.log(size.cast("double")) / F.log(F.lit((2 - threshold) / threshold)))
-    few = (F.col("size") <= 12) | (F.size("runs") <= F.col("lost"))
-    sets = stored(own.select("*", F.when(few, F.array(band - 1, band, band + 1)).otherwise(F.array().cast("array<bigint>")).alias("bands")))
-    met = prefix_pairs(sets.select("id", F.col("runs").alias("items"), "size", (F.col("lost") + 1).alias("kept")), 2.0 * F.col("x") / (F.col("x") + F.col("y")) >= threshold - 1e-12)
-    short = prefix_pairs(sets.where("size(bands) > 0").select("id", F.transform("bands", lambda b: b.cast("string")).alias("items"), "size", F.lit(3).alias("kept")), 2.0 * F.col("x") / (F.col("x") + F.col("y")) >= threshold - 1e-12)
-    side = lambda n, *c: sets.select(F.col("id").alias(n), *[F.col(x).alias(f"{n}_{x}") for x in c])
-    both = met.unionByName(short).distinct().join(side("a", "t", "runs", "lost"), "a").join(side("b", "t", "runs", "lost"), "b")
-    common = F.size(F.array_intersect("a_runs", "b_runs"))
-    both = both.where((common >= F.size("a_runs") - F.col("a_lost")) & (common >= F.size("b_runs") - F.col("b_lost")))
-    return both.where(F.greatest(A.sequence_similarity("a_t", "b_t"), A.sequence_similarity("b_t", "a_t")) >= threshold).select("a", "b")
+    import difflib
+
+    step = math.log((2 - threshold) / threshold * (1 + 1e-9))
+    own = stored(texts.select("id", "t", F.floor(F.log(F.length("t").cast("double")) / step).alias("band")))
+    blocks = own.groupBy("band").agg(F.ceil(F.count("*") / block).alias("n"))  # one row a band
+    for name, by in (("n0", 0), ("n1", 1), ("n2", -1)):
+        own = own.join(F.broadcast(blocks.select((F.col("band") - by).alias("band"), F.col("n").alias(name))), "band", "left")
+    own = own.withColumn("part", F.pmod(F.xxhash64("id"), "n0"))
+    many = lambda n, f: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1), f)).otherwise(F.array())
+    cell = lambda *c: F.struct(*[x.cast("bigint").alias(n) for n, x in zip(("p", "i", "q", "j"), c)])
+    here = lambda x: cell(F.col("band"), F.least("part", x), F.col("band"), F.greatest("part", x))
+    after, before = lambda x: cell(F.col("band"), F.col("part"), F.col("band") + 1, x), lambda x: cell(F.col("band") - 1, x, F.col("band"), F.col("part"))
+    met = own.select("id", "t", "band", "part", F.explode(F.concat(many("n0", here), many("n1", after), many("n2", before))).alias("cell")).select("id", "t", "band", "part", "cell.*")
+
+    def counts(texts):
+        """A text's numbers of characters: letters, digits and blank apart, all others in 27 groups."""
+        import numpy as np
+
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        group = 37 + points % 27
+        for first, last, at in ((97, 122, 0), (48, 57, 26), (32, 32, 36)):
+            group = np.where((points >= first) & (points <= last), points - first + at, group)
+        return np.bincount(row * 64 + group, minlength=len(texts) * 64).reshape(-1, 64).astype(np.int32)
+
+    def common(places, size, other):
+        """Length of the longest common subsequence; places: the bits of each character's places in a text of size."""
+        whole = (1 << size) - 1
+        v = whole
+        for c in other:
+            u = v & places.get(c, 0)
+            v = ((v + u) | (v - u)) & whole
+        return size - v.bit_count()
+
+    def meet(table):
+        import numpy as np
+        import pyarrow as pa
+
+        p, i, q, j = (table[c][0].as_py() for c in "piqj")
+        band, part = table["band"].to_numpy(), table["part"].to_numpy()
+        ids, texts = np.array(table["id"].to_pylist(), object), np.array(table["t"].to_pylist(), object)
+        left, right = np.flatnonzero((band == p) & (part == i)), np.flatnonzero((band == q) & (part == j))
+        same, out = (p, i) == (q, j), []
+        if len(left) and len(right):
+            size, fine = np.array([len(t) for t in texts]), counts(texts)
+            rough = np.ascontiguousarray(fine.reshape(-1, 8, 8).sum(2))
+            for n, x in enumerate(left):
+                y = right[n + 1 :] if same else right
+                for c in (rough, fine):
+                    y = y[np.abs(c[y] - c[x]).sum(1) <= (1 - threshold) * (size[y] + size[x]) + 1e-6]
+                if not len(y):
+                    continue
+                text, places = texts[x], {}
+                for k, c in enumerate(text):
+                    places[c] = places.get(c, 0) | 1 << k
+                alike = difflib.SequenceMatcher(None, "", text)
+                for z in y:
+                    other = texts[z]
+                    if 2 * common(places, len(text), other) < threshold * (len(text) + len(other)) - 1e-6:
+                        continue
+                    alike.set_seq1(other)
+                    if alike.ratio() >= threshold or difflib.SequenceMatcher(None, text, other).ratio() >= threshold:
+                        out.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.string()), "b": pa.array([o[1] for o in out], pa.string())})
+
+    tasks = 8 * texts.sparkSession.sparkContext.defaultParallelism  # much work on few bytes
+    return met.repartition(tasks, "p", "i", "q", "j").groupBy("p", "i", "q", "j").applyInArrow(meet, "a string, b string")
 
 
 def near_pairs(rows: DataFrame, key: str, text: str, threshold: float = 0.9, characters: bool = True) -> tuple[DataFrame, DataFrame]:

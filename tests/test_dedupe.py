@@ -51,3 +51,16 @@ def test_neighbours_of_all_vectors_are_nearly_exact(spark):
     exact = {(r.query_id, r.chunk_id) for r in retrieval.dense(df.withColumnRenamed("chunk_id", "query_id"), df, k=5, drop_self=True).collect()}
     near = {(r.query_id, r.chunk_id) for r in retrieval.approximate_neighbours(df, k=5, lists=16, probes=5, block=50).collect()}
     assert len(exact) == len(near) == 3000 and len(exact & near) >= 0.9 * len(exact)
+
+
+def test_questions_of_few_patterns_are_not_all_compared(spark, rows):
+    from tests.test_search_size import shuffled
+
+    rng = random.Random(9)
+    texts = sorted({f"what does rule {rng.randint(1, 40)}.{rng.randint(1, 99)} require of the {a} {b} in year {rng.randint(1950, 2030)}?" for a in ("sponsor", "issuer", "auditor") for b in ("board", "group", "adviser") for _ in range(40)})
+    df = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "id string, t string")
+    want = sorted((f"{i:04d}", f"{j:04d}") for i in range(len(texts)) for j in range(i + 1, len(texts)) if max(difflib.SequenceMatcher(None, p, q).ratio() for p, q in ((texts[i], texts[j]), (texts[j], texts[i]))) >= 0.9)
+    before = shuffled(spark)
+    assert rows(dedupe.sequence_pairs(df)) == want and 0 < len(want) < len(texts) ** 2 / 4
+    assert shuffled(spark) - before < 20 * sum(map(len, texts))
+    assert rows(dedupe.sequence_pairs(df, block=50)) == want
