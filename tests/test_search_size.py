@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -40,3 +41,15 @@ def test_what_follows_a_search_searches_once(spark, folder, name, monkeypatch):
     monkeypatch.setattr(retrieval, "bm25", lambda *a, **k: calls.append(1) or search(*a, **k))
     __spark_entry__.queries()[name](spark, folder[0]).count()
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("name", ["evidence_select", "task_coverage", "claim_support", "answer_confidence"])
+def test_a_search_leaves_no_table_of_texts_on_disk(spark, folder, name, monkeypatch):
+    from quarry.operators import retrieval
+
+    kept = []
+    store = retrieval.stored
+    monkeypatch.setattr(retrieval, "stored", lambda df: kept.append(store(df)) or kept[-1])
+    found = __spark_entry__.queries()[name](spark, folder[0])
+    files = [f.removeprefix("file:").replace("///", "/") for df in kept for f in df.inputFiles()]
+    assert kept and found.count() and not any(os.path.exists(f) for f in files)
