@@ -58,3 +58,38 @@ def test_an_index_shuffles_neither_texts_nor_postings(spark, tmp_path):
     before = shuffled(spark)
     files.write_index(R.lexical_index(spark.read.parquet(str(tmp_path / "t"))), str(tmp_path / "i"))
     assert shuffled(spark) - before < 0.1 * sum(len(t) for _, t in data)
+
+
+def test_common_and_rare_words_over_several_blocks_score_as_the_formula(spark):
+    import math
+
+    import numpy as np
+
+    rng = random.Random(5)
+    names = [f"w{i:03d}" for i in range(300)]
+    texts = [" ".join(rng.choices(names, weights=[1 / (i + 1) for i in range(300)], k=rng.randint(0, 40))) for _ in range(9000)]
+    chunks = spark.createDataFrame([(f"c{i:05d}", t) for i, t in enumerate(texts)], "chunk_id string, text string").repartition(1)
+    asked = {f"q{i:02d}": " ".join([*rng.choices(names[:6], k=3), *rng.choices(names, k=rng.randint(0, 4))]) for i in range(30)}
+    queries = spark.createDataFrame(list(asked.items()), "query_id string, text string")
+    bags = [t.split() for t in texts]
+    avgdl = np.mean([len(b) for b in bags])
+    idf = {w: math.log((len(bags) - n + 0.5) / (n + 0.5) + 1) for w in names if (n := sum(w in b for b in map(set, bags)))}
+    for q, text in asked.items():
+        words = text.split()
+        once = set(words)
+        bm, ov = [], []
+        for i, b in enumerate(bags):
+            s = sum(idf[w] * b.count(w) * 2.5 / (b.count(w) + 1.5 * (0.25 + 0.75 * len(b) / avgdl)) for w in words if w in b)
+            both = len(once & set(b))
+            if both:
+                bm.append((-round(s, 6), i))
+                ov.append((-round(both / len(once | set(b)), 6), i))
+        asked[q] = [sorted(x)[:20] for x in (bm, ov)]
+    for which, search in enumerate((R.bm25, R.overlap)):
+        got = {}
+        for r in search(queries, chunks).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((-r.score, int(r.chunk_id[1:])))
+        for q, want in asked.items():
+            assert [s for s, _ in got[q]] == pytest.approx([s for s, _ in want[which]], abs=2e-6)
+            if which:
+                assert got[q] == want[which]
