@@ -19,7 +19,7 @@ def folder(spark, tmp_path_factory):
     return out, {q for q, text in asked if q and text}
 
 
-@pytest.mark.parametrize("name", ["answer_confidence", "citations", "evidence_select", "hybrid_search", "multi_query_merge"])
+@pytest.mark.parametrize("name", ["answer_confidence", "citations", "evidence_select", "hybrid_search", "multi_query_merge", "relevance"])
 def test_every_request_is_searched(spark, folder, name):
     """By the query and by its SQL alike."""
     import duckdb
