@@ -7,14 +7,15 @@ import __spark_entry__
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
-    """Twelve requests, none but the first of a number divisible by 100, two of one text, one empty and one without a number."""
+    """Twelve requests, none but the first of a number divisible by 100, two of one text, one empty, one without a number and one with a
+    figure between Chinese characters."""
     rng = random.Random(5)
     words = [f"word{i:03d}" for i in range(200)]
     out = str(tmp_path_factory.mktemp("whole"))
     chunks = [(f"d_c{i:04d}", f"Section {i % 7}" if i % 3 else None, f"{i % 9}.{i % 40}", "p", " ".join(rng.choices(words, k=40)) + ".") for i in range(400)]
     spark.createDataFrame(chunks, "chunk_id string, section_title string, rule_number string, source_path string, text string").write.parquet(f"{out}/chunk.parquet")
     asked = [(f"rq{i:09d}", " ".join(rng.choices(words, k=3)) + " and " + rng.choice(words)) for i in range(10)]
-    asked += [("rq000000010", asked[3][1]), ("rq000000011", ""), (None, "word001")]
+    asked += [("rq000000010", asked[3][1]), ("rq000000011", ""), (None, "word001"), ("rq000000012", "word002 代價721.8百萬")]
     spark.createDataFrame(asked, "request_id string, query string").write.parquet(f"{out}/query_request.parquet")
     return out, {q for q, text in asked if q and text}
 
